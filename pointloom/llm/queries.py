@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pointloom.llm import op10_decontamination
+from pointloom.llm import op2_language_id, op10_decontamination
 
 QUERIES = {
+    "op2_language_id": op2_language_id.query,
     "op10_decontamination": op10_decontamination.query,
 }
 
