@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pointloom.llm import op2_language_id, op9_telephony_audio, op10_decontamination
+from pointloom.llm import op2_language_id, op3_token_store, op9_telephony_audio, op10_decontamination
 
 QUERIES = {
     "op2_language_id": op2_language_id.query,
+    "op3_token_store": op3_token_store.query,
     "op9_telephony_audio": op9_telephony_audio.query,
     "op10_decontamination": op10_decontamination.query,
 }
