@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pointloom.llm import op2_language_id, op3_token_store, op9_telephony_audio, op10_decontamination
+from pointloom.llm import op2_language_id, op3_token_store, op8_warc, op9_telephony_audio, op10_decontamination
 
 QUERIES = {
     "op2_language_id": op2_language_id.query,
     "op3_token_store": op3_token_store.query,
+    "op8_warc": op8_warc.query,
     "op9_telephony_audio": op9_telephony_audio.query,
     "op10_decontamination": op10_decontamination.query,
 }
 
 ORACLES = {
+    "op8_warc": op8_warc.ORACLE,
     "op10_decontamination": op10_decontamination.ORACLE,
 }
