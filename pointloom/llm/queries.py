@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pointloom.llm import op2_language_id, op3_token_store, op8_warc, op9_telephony_audio, op10_decontamination
+from pointloom.llm import op1_suffix_tree, op2_language_id, op3_token_store, op8_warc, op9_telephony_audio, op10_decontamination
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree.query,
     "op2_language_id": op2_language_id.query,
     "op3_token_store": op3_token_store.query,
     "op8_warc": op8_warc.query,
