@@ -1,7 +1,7 @@
 """Token ids in binary shards: each document compressed by itself with one shared zstandard dictionary.
 
 A store is a folder: ``dictionary-<hash>.zdict``, trained on the serialized ids of a bounded sample
-(``SAMPLE`` documents with the smallest id hashes, the first ``SAMPLE_CHARS`` characters of each; this touches the
+(about ``SAMPLE`` documents drawn by the hash of their ids, the first ``SAMPLE_CHARS`` characters of each; this touches the
 compression only, never the ids), and shards ``ids-<range>-<roll>.tok``:
 
     magic (8 bytes) | header length (4) | JSON header: dictionary hash, documents, ids
@@ -26,6 +26,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ MAGIC, END = b"PLTOKS1\n", 1
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 2000, 64 << 10
 #: Text bytes of a range (a task), and id bytes after which a shard is rolled.
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
-CACHE_WORDS = 300_000
+#: Words that a process remembers: about 200 MB.
+CACHE_WORDS = 1_000_000
 MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long"
 
 
@@ -57,15 +59,32 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # lower case first makes fewer words; the tokenizer lower-cases too, but finds its special strings before
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, self.kind).tobytes()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        return out
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = set().union(*split) - known.keys()
+        # an ASCII letter and the comma or stop after it never share an id: such words follow from what is before
+        stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
+        plain = list((new - stems.keys()).union(stems.values(), {b",", b"."}) - known.keys())
+        for i in range(0, len(plain), 50_000):
+            part = plain[i : i + 50_000]
+            ids = [code.ids for code in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            cuts = np.cumsum([0, *map(len, ids)]) * int(self.kind[-1])
+            blob = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+            known.update(zip(part, [blob[i:j] for i, j in pairwise(cuts.tolist())], strict=True))
+        for word, stem in stems.items():
+            known[word] = known[stem] + known[word[-1:]]
+        return [b"".join([known[w] for w in words]) for words in split]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(tokenizer_path: str, width: int) -> Encoder:
+    """This process's encoder: tasks that follow each other in a worker share the words it knows."""
+    if (tokenizer_path, width) not in _encoders:
+        _encoders[tokenizer_path, width] = Encoder(tokenizer_path, width)
+    return _encoders[tokenizer_path, width]
 
 
 def default_tokenizer() -> str:
@@ -139,8 +158,9 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
     width = 2 if max(vocabulary(tokenizer_path) - 1, end_id) < 1 << 16 else 4
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    drawn = rows.select(F.xxhash64("id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE)
-    samples = [x for x in Encoder(tokenizer_path, width).encode([r[1].encode() for r in drawn.collect()]) if x]
+    some = min(1.0, SAMPLE / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(some * (1 << 30))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    samples = [x for x in Encoder(tokenizer_path, width).encode(sorted(r[0].encode() for r in drawn.collect())[: 2 * SAMPLE]) if x]
     raw = train_dictionary(samples)
     name = hashlib.sha256(raw).hexdigest()
     staging.commit_file(f"{at}/dictionary-{name}.zdict", raw)
@@ -149,7 +169,7 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
     number, count = ranges.cut(rows, F.col("id"), F.octet_length("text") + 16, range_bytes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, width)
+        encoder = encoder_of(tokenizer_path, width)
         end = np.array([end_id], encoder.kind).tobytes()
         known = as_dictionary(shared.value)
         writer = zstandard.ZstdCompressor(level=level, dict_data=known) if known else zstandard.ZstdCompressor(level=level)
