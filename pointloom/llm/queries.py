@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pointloom.llm import op1_suffix_tree, op2_language_id, op3_token_store, op8_warc, op9_telephony_audio, op10_decontamination
+from pointloom.llm import op1_suffix_tree, op2_language_id, op3_token_store, op5_near_duplicates, op8_warc, op9_telephony_audio, op10_decontamination
 
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree.query,
     "op2_language_id": op2_language_id.query,
     "op3_token_store": op3_token_store.query,
+    "op5_near_duplicates": op5_near_duplicates.query,
     "op8_warc": op8_warc.query,
     "op9_telephony_audio": op9_telephony_audio.query,
     "op10_decontamination": op10_decontamination.query,

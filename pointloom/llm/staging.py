@@ -1,48 +1,17 @@
-"""Tables and files kept between jobs, in the folder that driver and executors share.
+"""Files in the folder that driver and executors share (see ``pointloom.shared``).
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-(tests in local mode) a temporary folder of this machine is used. Files that no Spark writer
-produces go through pyarrow's file systems, so ``file:``, ``hdfs:`` and ``s3:`` folders all work.
+Files that no Spark writer produces go through pyarrow's file systems, so ``file:``, ``hdfs:`` and ``s3:`` folders all work.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
+from pointloom.shared import drop, folder, keep, root
 
-
-def root(spark: SparkSession) -> str:
-    """URI of the shared folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="pointloom-")
-    return _own["dir"]
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """URI of a folder of its own, not yet made."""
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start from the files, not from the plan before."""
-    spark = df.sparkSession
-    at = folder(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def drop(spark: SparkSession, at: str) -> None:
-    """Delete a folder of the shared store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["commit_file", "drop", "folder", "keep", "open_fs", "read_file", "root"]
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
