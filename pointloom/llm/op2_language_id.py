@@ -101,9 +101,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["k", "bucket", "n"])
 
-    got = drawn.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = drawn.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((buckets, len(langs)))
-    table[got["bucket"].to_numpy(int), got["k"].to_numpy(int)] = got["n"].to_numpy()
+    table[got["bucket"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
     prior = np.log(np.array([sizes[k] for k in langs]) / sum(sizes.values()))
     return Model(langs, np.log((table + smooth) / (table.sum(0) + smooth * buckets)).astype(np.float32), prior)
 
