@@ -48,11 +48,13 @@ MANIFEST = "path string, shard_range int, roll int, documents long, ids long, by
 class Encoder:
     """Whole texts to id bytes. Words between ASCII white space are encoded once and remembered: the tokenizer never joins ids across white space."""
 
-    def __init__(self, tokenizer_path: str, width: int):
+    def __init__(self, tokenizer_path: str, width: int, plain: bool = False):
+        """``plain``: the special tokens' strings in a text are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.encode_special_tokens = plain
         self.kind = "<u2" if width == 2 else "<u4"
         self.known: dict[bytes, bytes] = {}
 
@@ -77,14 +79,15 @@ class Encoder:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder_of(tokenizer_path: str, width: int) -> Encoder:
+def encoder_of(tokenizer_path: str, width: int, plain: bool = False) -> Encoder:
     """This process's encoder: tasks that follow each other in a worker share the words it knows."""
-    if (tokenizer_path, width) not in _encoders:
-        _encoders[tokenizer_path, width] = Encoder(tokenizer_path, width)
-    return _encoders[tokenizer_path, width]
+    key = (tokenizer_path, width, plain)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def default_tokenizer() -> str:
