@@ -23,13 +23,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
-import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,19 @@ CACHE_WORDS = 1_000_000
 MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """For the letters of SIMPLE, the signs that byte-level vocabularies write their UTF-8 bytes with: printable ones as they are, others counted up from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in printable]
+    sign = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+SIMPLE = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+BYTE_LETTERS = _byte_letters()
+TYPECODE = {"<u2": "H", "<u4": "I"}
+
+
 class Encoder:
     """Whole texts to id bytes. Words between ASCII white space are encoded once and remembered: the tokenizer never joins ids across white space."""
 
@@ -55,19 +70,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = plain
+        if not self._plain_letters():
+            raise ValueError(f"{tokenizer_path}: not a byte-level tokenizer that lower-cases")
         self.kind = "<u2" if width == 2 else "<u4"
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # lower case first makes fewer words; the tokenizer lower-cases too, but finds its special strings before
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    def _plain_letters(self) -> bool:
+        """Whether the short way for simple words gives what the whole tokenizer gives."""
+        words = ["the", "ciónue", "für", "ÿþàçß", "xqzjk"]
+        return all([t.id for t in self.tokenizer.model.tokenize(w.translate(BYTE_LETTERS))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode what is not known yet."""
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = set().union(*split) - known.keys()
+        new = {w for w in words if w not in known}
         # an ASCII letter and the comma or stop after it never share an id: such words follow from what is before
         stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
         plain = list((new - stems.keys()).union(stems.values(), {b",", b"."}) - known.keys())
+        rest = []
+        tokenize, kind = self.tokenizer.model.tokenize, self.kind
+        for word in plain:
+            text = word.decode("utf-8", "replace")
+            # normalising leaves these as they are and they are one run of letters, so the model's merges are all that is left to do
+            if SIMPLE(text):
+                known[word] = array(TYPECODE[kind], [t.id for t in tokenize(text if text.isascii() else text.translate(BYTE_LETTERS))]).tobytes()
+            else:
+                rest.append(word)
+        plain = rest
         for i in range(0, len(plain), 50_000):
             part = plain[i : i + 50_000]
             ids = [code.ids for code in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
@@ -76,7 +105,29 @@ class Encoder:
             known.update(zip(part, [blob[i:j] for i, j in pairwise(cuts.tolist())], strict=True))
         for word, stem in stems.items():
             known[word] = known[stem] + known[word[-1:]]
-        return [b"".join([known[w] for w in words]) for words in split]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each begins (with the total at the end). Distinct words are found by Arrow, the ids are put together by numpy."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        # lower case first makes fewer words; the tokenizer lower-cases too, but finds its special strings before
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        begins, blob = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist(), (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        words = [blob[i:j] for i, j in pairwise(begins)]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self._learn(words)
+        codes = [self.known[w] for w in words]
+        width = int(self.kind[-1])
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // width
+        ids, begin = np.frombuffer(b"".join(codes), self.kind), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        sizes = size[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = ids[np.repeat(begin[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        offsets = lists.offsets.to_numpy()
+        return flat, ends[offsets - offsets[0]]
 
 
 _encoders: dict[tuple[str, int, bool], Encoder] = {}
@@ -90,6 +141,16 @@ def encoder_of(tokenizer_path: str, width: int, plain: bool = False) -> Encoder:
     return _encoders[key]
 
 
+def portions(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most about ``limit`` characters of text (or one row)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -163,7 +224,8 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
 
     some = min(1.0, SAMPLE / max(1, rows.count()))
     drawn = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(some * (1 << 30))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    samples = [x for x in Encoder(tokenizer_path, width).encode(sorted(r[0].encode() for r in drawn.collect())[: 2 * SAMPLE]) if x]
+    ids, cuts = Encoder(tokenizer_path, width).encode(pa.array(sorted(r[0] for r in drawn.collect())[: 2 * SAMPLE], pa.string()))
+    samples = [x for x in (ids[i:j].tobytes() for i, j in pairwise(cuts.tolist())) if x]
     raw = train_dictionary(samples)
     name = hashlib.sha256(raw).hexdigest()
     staging.commit_file(f"{at}/dictionary-{name}.zdict", raw)
@@ -190,10 +252,10 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
             size, roll, held = 0, roll + 1, []
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                piece = batch.slice(i, 1000)
-                ids = encoder.encode([x.as_py() for x in piece.column(2).cast(pa.large_binary())])
-                for p, doc, code in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), ids, strict=True):
+            for piece in portions(batch, 2):
+                ids, cuts = encoder.encode(piece.column(2))
+                for p, doc, i, j in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    code = ids[i:j].tobytes()
                     if p != part:
                         close()
                         part, roll = p, 0

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pointloom.llm import staging
-from pointloom.llm.op3_token_store import default_tokenizer, encoder_of, vocabulary
+from pointloom.llm.op3_token_store import default_tokenizer, encoder_of, portions, vocabulary
 
 BLOCK, FILE_BYTES = 4 << 20, 64 << 20
 
@@ -53,12 +53,11 @@ def write_flat(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_co
             return out
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                piece = batch.slice(i, 1000)
-                codes = encoder.encode([x.as_py() for x in piece.column(1).cast(pa.large_binary())])
-                for doc, code in zip(piece.column(0).to_pylist(), codes, strict=True):
+            for piece in portions(batch, 1):
+                codes, cuts = encoder.encode(piece.column(1))
+                for doc, i, j in zip(piece.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     ids.append(doc)
-                    held.append(code + end)
+                    held.append(codes[i:j].tobytes() + end)
                     size += len(held[-1])
                     if size >= FILE_BYTES:
                         yield close()
