@@ -1,39 +1,69 @@
-"""Connected components of an edge table, distributed: alternating large-star and small-star rounds.
+"""Connected components of an edge table.
 
-Each round is two aggregations (combined before the shuffle) and two equi-joins; its edges are written to the shared folder, so
-the lineage is one round long and a lost executor costs a task, not the run. Rounds stop when the edges
-no longer change, which takes about the logarithm of the longest path.
+Up to ``ONE_TASK`` distinct edges (16 MB) go through a union-find in one task, on an executor. Larger graphs take alternating large-star and
+small-star rounds, all distributed, until they have become stars. Each round is two aggregations (combined before the shuffle) and two equi-joins; its edges are written to the shared folder, so
+the lineage is one round long and a lost executor costs a task, not the run. That takes about the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.shared import keep
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
+ONE_TASK = 1_000_000
+
+
+def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of the component of each): labels sink along edges and are then followed to their ends."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (further := label[label]).tobytes() != label.tobytes():
+            label = further
+        if np.array_equal(before, label):
+            return nodes, nodes[label]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if got:
+        nodes, comp = union_find(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(comp)], names=["node", "comp"])
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Every upper end has one lower end, which is no upper end itself."""
+    upper = edges.groupBy("u").agg(F.count("*").alias("n"))
+    return upper.where(F.col("n") > 1).isEmpty() and edges.join(upper.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """``node``, ``comp`` for every node of an edge: the smallest node of its component. Loops count as nodes; nulls are left out."""
     given = edges.select(F.col(a).cast("long").alias("p"), F.col(b).cast("long").alias("q")).where(F.col("p").isNotNull() & F.col("q").isNotNull())
-    loops = given.where(F.col("p") == F.col("q")).select(F.col("p").alias("node")).distinct()
-    work = keep(given.where(F.col("p") != F.col("q")).select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct(), "edges")
-    before = _sum(work)
-    while before[0]:
+    work = keep(given.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct(), "edges")
+    if work.count() <= one_task:
+        return work.coalesce(1).mapInArrow(_in_one_task, "node long, comp long")
+    loops = work.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"))
+    work = work.where(F.col("u") != F.col("v"))
+    while not _are_stars(work):
         both = work.select("u", "v").unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         work = keep(small, "edges")
-        after = _sum(work)
-        if after == before:
-            break
-        before = after
     found = work.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     roots = found.select(F.col("comp").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     known = found.unionByName(roots)
