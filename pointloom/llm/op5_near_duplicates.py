@@ -147,15 +147,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], names=["id", "k1", "k2", "set"])
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """Broadcast where the number of ids allows it."""
-    return F.broadcast(ids) if ids.count() <= SMALL else ids
+def _few(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """Broadcast where the number of ids (or the most that it can be) allows it."""
+    return F.broadcast(ids) if (ids.count() if most is None else most) <= SMALL else ids
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, by the exact similarity of their shingle sets."""
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    sets = texts.join(_few(ids), "id", "left_semi").mapInArrow(_sets, "id long, k1 long, k2 long, set array<bigint>")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = texts.join(_few(ids, 2 * pairs.count()), "id", "left_semi").mapInArrow(_sets, "id long, k1 long, k2 long, set array<bigint>")
     own = reps.select(F.col("rep").alias("id"), "k1", "k2").join(ids, "id", "left_semi")
     sets = keep(sets.join(own, ["id", "k1", "k2"], "left_semi").groupBy("id").agg(F.first("set").alias("set")), "near-sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
@@ -189,7 +189,7 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     wide = multi.where(F.col("m") > 2)
     used = wide.select("band", "h", F.col("leader").alias("rep")).distinct()
-    at_once = 8
+    at_once = 64
     while True:
         placed = wide.join(label.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         parts = placed.groupBy("band", "h", "comp").agg(F.count("*").alias("size"))
@@ -199,15 +199,18 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         leaders = keep(open_.where(F.col("comp") != F.col("main")).withColumn("k", order).where(F.col("k") <= at_once).select("band", "h", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp")), "near-leaders")
         if leaders.isEmpty():
             break
+        full = not leaders.groupBy("band", "h").count().where(F.col("count") >= at_once).isEmpty()
         more = _pairs(open_.join(leaders, ["band", "h"]).where(F.col("comp") != F.col("leader_comp")), "leader", "rep", "leader_n", "n")
         more = keep(more.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         new = keep(_verify(more, texts, reps), "near-links")
-        tested = tested.unionByName(more)
-        used = keep(used.unionByName(leaders.select("band", "h", F.col("leader").alias("rep"))), "near-used")
         if not new.isEmpty():
             links = links.unionByName(new)
             label = keep(connected_components(links), "near-labels")
-        at_once *= 4
+        if not full:  # all that lay outside their bucket's largest component have met all others
+            break
+        tested = tested.unionByName(more)
+        used = keep(used.unionByName(leaders.select("band", "h", F.col("leader").alias("rep"))), "near-used")
+        at_once *= 16
 
     named = reps.join(label.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("k1", "k2", "n_copies", F.coalesce("comp", "rep").alias("class_id"))
     alone = (F.col("n_words") == 0) | F.col("id").isNull()
