@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text makes a piece of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
