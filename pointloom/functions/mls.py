@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLT_EPSILON = 2.0**-23
@@ -73,7 +73,7 @@ def fit_sphere(sw: Column, swp: Vec, swn: Vec, swpp: Column, swpn: Column, hits:
     """Coefficients (a, b, c) of the algebraic sphere of the weighted sums."""
     mean = tuple(F.try_divide(v, sw) for v in swp)
     top, bottom = swpn - dot(mean, swn), swpp - dot(mean, swp)
-    q = F.when(F.abs(bottom) < 4 * FLT_EPSILON * hits * F.abs(swpp), F.lit(0.0)).otherwise(F.coalesce(finite(F.try_divide(top, bottom)), F.lit(0.0)))
+    q = sphere_quotient(top, bottom, swpp, hits)
     b = tuple(F.try_divide(n - q * p, sw) for n, p in zip(swn, swp, strict=True))
     a = q / 2
     return a, b, -F.try_divide(a * swpp + dot(b, swp), sw)
@@ -86,19 +86,31 @@ def fit_plane(sw: Column, swp: Vec, swn: Vec) -> tuple[Vec, Vec, Column]:
     return mean, normal, -dot(normal, mean)
 
 
-def surface_distance(sums: dict[str, Column], shape: str, boundary_limit: float) -> Column:
-    """Signed distance of a corner from the fitted surface; NULL where it is undefined, too far away or beyond the boundary."""
-    sw, swpp, hits = sums["sw"], sums["swpp"], sums["hits"]
-    swp, swn = (sums["spx"], sums["spy"], sums["spz"]), (sums["snx"], sums["sny"], sums["snz"])
-    mean = tuple(F.try_divide(v, sw) for v in swp)
-    spread = swpp - dot(mean, swp)
+def sphere_quotient(top: Column, bottom: Column, swpp: Column, hits: Column) -> Column:
+    """Twice the quadratic coefficient of the fitted sphere; 0 where it cannot be told."""
+    return F.when(F.abs(bottom) < 4 * FLT_EPSILON * hits * F.abs(swpp), F.lit(0.0)).otherwise(F.coalesce(finite(F.try_divide(top, bottom)), F.lit(0.0)))
+
+
+def with_distance(sums: DataFrame, shape: str, boundary_limit: float) -> DataFrame:
+    """``sums`` with ``f``: the signed distance of a corner from the fitted surface, NULL where it is undefined, too far away or beyond the boundary.
+
+    Each step is a projection of its own: as one nested expression the formula would repeat its parts hundreds of times."""
+    col = F.col
+    swp, swn = (col("spx"), col("spy"), col("spz")), (col("snx"), col("sny"), col("snz"))
+    mean, b, foot = ((col(f"{n}x"), col(f"{n}y"), col(f"{n}z")) for n in ("_m", "_b", "_g"))
+    name = lambda n, v: dict(zip((f"{n}x", f"{n}y", f"{n}z"), v, strict=True))
+    out = sums.withColumns(name("_m", (F.try_divide(v, col("sw")) for v in swp))).withColumn("_spread", col("swpp") - dot(mean, swp))
     if shape == "sphere":
-        foot, distance = distance_sphere(*fit_sphere(sw, swp, swn, swpp, sums["swpn"], hits))
+        out = out.withColumn("_top", col("swpn") - dot(mean, swn)).withColumn("_q", sphere_quotient(col("_top"), col("_spread"), col("swpp"), col("hits")))
+        out = out.withColumns(name("_b", (F.try_divide(n - col("_q") * p, col("sw")) for n, p in zip(swn, swp, strict=True))))
+        out = out.withColumn("_b2", dot(b, b)).withColumn("_c", -F.try_divide(col("_q") / 2 * col("swpp") + dot(b, swp), col("sw"))).withColumn("_a", col("_q") / 2 * col("_b2"))
+        out = out.withColumn("_s", col("_b2") * col("_b2") - 4 * col("_a") * col("_c")).withColumn("_t", col("_b2") + F.when(col("_s") >= 0, F.sqrt("_s")))
+        out = out.withColumn("_l", F.coalesce(finite(F.try_divide(-2 * col("_c"), col("_t"))), finite(F.try_divide(col("_t"), -2 * col("_a")))))
+        out = out.withColumns(name("_g", scaled(b, col("_l")))).withColumn("_f", -F.try_divide(dot(b, foot), F.sqrt("_b2")))
     elif shape == "plane":
-        _, normal, distance = fit_plane(sw, swp, swn)
-        foot = scaled(normal, -distance)
+        out = out.withColumn("_size", length(swn)).withColumns(name("_b", (F.try_divide(v, col("_size")) for v in swn))).withColumn("_f", -dot(b, mean)).withColumns(name("_g", scaled(b, -col("_f"))))
     else:
         raise ValueError(f"shape must be sphere or plane, not {shape!r}")
-    foot2 = dot(foot, foot)
-    rest = swpp - 2 * dot(swp, foot) + sw * foot2
-    return F.when((hits >= HITS) & (foot2 < MAX_DISTANCE2) & (spread > F.lit(boundary_factor(boundary_limit)) * rest), finite(distance))
+    out = out.withColumn("_g2", dot(foot, foot)).withColumn("_rest", col("swpp") - 2 * dot(swp, foot) + col("sw") * col("_g2"))
+    good = (col("hits") >= HITS) & (col("_g2") < MAX_DISTANCE2) & (col("_spread") > F.lit(boundary_factor(boundary_limit)) * col("_rest"))
+    return out.withColumn("f", F.when(good, finite(col("_f")))).select(*sums.columns, "f")

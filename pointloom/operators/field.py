@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import mls
-
-SUMS = ("sw", "spx", "spy", "spz", "snx", "sny", "snz", "swpp", "swpn")
+from pointloom.shared import keep
 
 
 def expand(splats: DataFrame) -> DataFrame:
@@ -38,7 +37,8 @@ def weighted_sums(expanded: DataFrame) -> DataFrame:
 
 
 def mls_field(splats: DataFrame, shape: str = "sphere", boundary_limit: float = 1.0) -> DataFrame:
-    """``x``, ``y``, ``z`` (integer corners) and ``f``, of the corners where the surface is defined."""
+    """``x``, ``y``, ``z`` (integer corners) and ``f``, of the corners where the surface is defined; kept in the shared folder."""
     sums = weighted_sums(expand(splats)).where(F.col("hits") >= mls.HITS)
-    f = mls.surface_distance({c: F.col(c) for c in (*SUMS, "hits")}, shape, boundary_limit)
-    return sums.select(F.col("i").cast("int").alias("x"), F.col("j").cast("int").alias("y"), F.col("k").cast("int").alias("z"), f.alias("f")).where(F.col("f").isNotNull())
+    # kept before the undefined are filtered: pushed down, that filter would be the whole formula as one expression
+    found = keep(mls.with_distance(sums, shape, boundary_limit).select(F.col("i").cast("int").alias("x"), F.col("j").cast("int").alias("y"), F.col("k").cast("int").alias("z"), "f"), "field")
+    return found.where(F.col("f").isNotNull())
