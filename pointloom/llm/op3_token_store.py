@@ -42,8 +42,8 @@ MAGIC, END = b"PLTOKS1\n", 1
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 2000, 64 << 10
 #: Text bytes of a range (a task), and id bytes after which a shard is rolled.
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
-#: Words that a process remembers: about 200 MB.
-CACHE_WORDS = 1_000_000
+#: Words that a process remembers: about 100 MB.
+CACHE_WORDS = 500_000
 MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long"
 
 
@@ -74,6 +74,7 @@ class Encoder:
             raise ValueError(f"{tokenizer_path}: not a byte-level tokenizer that lower-cases")
         self.kind = "<u2" if width == 2 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # what was known before; what is met again is taken over
 
     def _plain_letters(self) -> bool:
         """Whether the short way for simple words gives what the whole tokenizer gives."""
@@ -82,8 +83,15 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode what is not known yet."""
-        known = self.known
-        new = {w for w in words if w not in known}
+        if 2 * len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        known, old, new = self.known, self.old, set()
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.add(w)
         # an ASCII letter and the comma or stop after it never share an id: such words follow from what is before
         stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
         plain = list((new - stems.keys()).union(stems.values(), {b",", b"."}) - known.keys())
@@ -115,8 +123,6 @@ class Encoder:
         coded = lists.flatten().cast(pa.large_binary()).dictionary_encode()
         begins, blob = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist(), (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
         words = [blob[i:j] for i, j in pairwise(begins)]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         self._learn(words)
         codes = [self.known[w] for w in words]
         width = int(self.kind[-1])
@@ -125,7 +131,7 @@ class Encoder:
         which = coded.indices.to_numpy()
         sizes = size[which]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = ids[np.repeat(begin[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        flat = ids[np.repeat((begin[which] - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]  # a portion has far fewer than 2^31 ids
         offsets = lists.offsets.to_numpy()
         return flat, ends[offsets - offsets[0]]
 
@@ -141,7 +147,7 @@ def encoder_of(tokenizer_path: str, width: int, plain: bool = False) -> Encoder:
     return _encoders[key]
 
 
-def portions(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most about ``limit`` characters of text (or one row)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     i = 0
