@@ -1,7 +1,486 @@
-"""Queries over the driver's tables, each with the SQL that must give the same rows."""
+"""Queries over the driver's tables, each with the SQL that must give the same rows.
+
+Splats, fields, graphs and timelines are made from the tables by plain expressions, the same in both dialects. Sums that are compared are sums of integers, or
+rounded; nothing is sampled and all rows are used.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from pointloom.functions import bits, mls
+from pointloom.functions.grid import Grid, div_down
+from pointloom.operators import bucket, field, manifold, marching, mesh, octree, simulate, splats, telemetry
+from pointloom.operators.components import connected_components
+from pointloom.plans import reconstruct
+from pointloom.shared import folder, keep
+from pointloom.sources import files, ply
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+FLAGSHIP = "g8_surface_of_splats"
+AXES = ("x", "y", "z")
+GRID = Grid((-10.0, -50.0, 40.0), 2.5, ((-1, 40), (1, 60), (-30, 50)))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = "\n".join(x for x in (PREFIX if "splats" in sql else "", sql) if x) if not sql.lstrip().startswith("WITH") or "splats" not in sql else PREFIX + ",\n" + sql.lstrip()[5:]
+        return f
+
+    return add
+
+
+#: The splats of lineitem: an integer lattice, with ids by order and line (ties by part and supplier).
+PREFIX = """WITH splats AS (
+  SELECT l_linenumber AS scan, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 + (l_linenumber::BIGINT << 40) AS splat_id,
+         l_quantity AS x, floor(l_extendedprice / 2100) AS y, round(l_discount * 100) + round(l_tax * 100) * 11 AS z,
+         0.5 + l_linenumber * 0.5 AS radius, (l_orderkey % 7 - 3)::DOUBLE AS nx, (l_partkey % 5 - 2)::DOUBLE AS ny, (l_suppkey % 3 - 1)::DOUBLE AS nz
+  FROM lineitem)"""
+
+
+def lineitem_splats(spark: SparkSession, d: str) -> DataFrame:
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    order = W.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return li.select(
+        F.col("l_linenumber").alias("scan"), splats.splat_id(F.col("l_linenumber"), F.row_number().over(order) - 1).alias("splat_id"),
+        F.col("l_quantity").alias("x"), F.floor(F.col("l_extendedprice") / 2100).cast("double").alias("y"), (F.round(F.col("l_discount") * 100) + F.round(F.col("l_tax") * 100) * 11).alias("z"),
+        (F.lit(0.5) + F.col("l_linenumber") * 0.5).alias("radius"), (F.col("l_orderkey") % 7 - 3).cast("double").alias("nx"), (F.col("l_partkey") % 5 - 2).cast("double").alias("ny"), (F.col("l_suppkey") % 3 - 1).cast("double").alias("nz"),
+    )
+
+
+
+
+@query("p1_radius_quality", "SELECT scan, count(*) AS n, sum(CAST(round(least(radius, 3.0) * 4.0 * 1000) AS BIGINT))::BIGINT AS radius_sum, sum(CAST(round(1e6 / ((least(radius, 3.0) * 4.0) * (least(radius, 3.0) * 4.0))) AS BIGINT))::BIGINT AS quality_sum FROM splats GROUP BY scan")
+def p1(spark, d):
+    made = splats.project(lineitem_splats(spark, d), 4.0, 3.0)
+    return made.groupBy("scan").agg(F.count("*").alias("n"), F.sum(F.round(F.col("radius") * 1000).cast("long")).alias("radius_sum"), F.sum(F.round(F.lit(1e6) / (F.col("radius") * F.col("radius"))).cast("long")).alias("quality_sum"))
+
+
+@query("p3_finite_filter", "SELECT count(*) AS kept, (SELECT count(*) FROM events) - count(*) AS dropped FROM events WHERE value > 0 AND value <> 100 AND event_type <> 'error'")
+def p3(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    bad = F.when(F.col("event_type") == "error", F.lit(float("nan"))).when(F.col("value") == 100, F.lit(float("inf"))).otherwise(F.col("value"))
+    rows = ev.select(*[bad.alias(c) if c == "radius" else F.lit(1.0).alias(c) for c in splats.FIELDS if c != "quality"])
+    made = splats.project(rows, 1.0)
+    return splats.finite(made).agg(F.count("*").alias("kept")).crossJoin(splats.nonfinite_count(made).select(F.col("nonfinite").alias("dropped")))  # rows of one
+
+
+_VERTEX = " , ".join(f"sum(CAST(round((({a} - ({r})) * {1.0 / GRID.spacing} - ({lo})) * 1e6) AS BIGINT))::BIGINT AS v{a}, sum(CAST(floor(({a} - ({r})) * {1.0 / GRID.spacing}) - ({lo}) AS BIGINT))::BIGINT AS c{a}" for a, r, (lo, _) in zip(AXES, GRID.reference, GRID.extents, strict=True))
+
+
+@query("p4_p5_p6_p7_grid_transforms", f"SELECT scan, {_VERTEX}, sum(CAST(round(radius * {1.0 / GRID.spacing} * 1e6) AS BIGINT))::BIGINT AS r FROM splats GROUP BY scan")
+def p4(spark, d):
+    s = lineitem_splats(spark, d)
+    out = []
+    for i, a in enumerate(AXES):
+        vertex = GRID.world_to_vertex(F.col(a), i)
+        out += [F.sum(F.round(vertex * 1e6).cast("long")).alias(f"v{a}"), F.sum(GRID.world_to_cell(F.col(a), i)).alias(f"c{a}")]
+    return s.groupBy("scan").agg(*out, F.sum(F.round(GRID.scale(F.col("radius")) * 1e6).cast("long")).alias("r"))
+
+
+def _box_sql(spacing: float, by: int) -> str:
+    return ", ".join(f"CAST(floor(floor(({a} {s} radius) / {spacing}) / {by}.0) AS BIGINT) AS {n}_{a}" for n, s in (("lo", "-"), ("hi", "+")) for a in AXES)
+
+
+BOX = [f"{n}_{a}" for n in ("lo", "hi") for a in AXES]
+
+
+@query("p8_bucket_boxes", f"SELECT {', '.join(BOX)}, count(*) AS n FROM (SELECT {_box_sql(2.5, 3)} FROM splats) GROUP BY ALL")
+def p8(spark, d):
+    return splats.with_boxes(lineitem_splats(spark, d), None, 2.5, 3).groupBy(*BOX).agg(F.count("*").alias("n"))
+
+
+_CLAMPED = f"SELECT splat_id, scan, {', '.join(f'greatest(lo_{a}, 0) AS lo_{a}, least(hi_{a}, {m}) AS hi_{a}' for a, m in zip(AXES, (3, 4, 5), strict=True))} FROM (SELECT splat_id, scan, {_box_sql(2.5, 3)} FROM splats)"
+_VALID = " AND ".join(f"lo_{a} <= hi_{a}" for a in AXES)
+
+
+@query("p9_clamp", f"SELECT {', '.join(BOX)}, count(*) AS n FROM ({_CLAMPED}) WHERE {_VALID} GROUP BY ALL")
+def p9(spark, d):
+    return splats.clamp_boxes(splats.with_boxes(lineitem_splats(spark, d), None, 2.5, 3), (4, 5, 6)).groupBy(*BOX).agg(F.count("*").alias("n"))
+
+
+@query("p11_inside", "SELECT count(*) AS n FROM splats WHERE x >= 5 AND x < 25 AND y >= 3.5 AND y < 40 AND z >= 0 AND z < 50")
+def p11(spark, d):
+    from pointloom.functions.grid import inside
+
+    return lineitem_splats(spark, d).where(inside((F.col("x"), F.col("y"), F.col("z")), ((5, 25), (3.5, 40), (0, 50)))).agg(F.count("*").alias("n"))
+
+
+@query("a1_a21_bounding_box", "SELECT " + ", ".join(f"min({a} - radius) AS min_{a}" for a in AXES) + ", " + ", ".join(f"max({a} + radius) AS max_{a}" for a in AXES) + " FROM splats")
+def a1(spark, d):
+    return splats.bounding_box(lineitem_splats(spark, d))
+
+
+@query("a2_bounding_grid", "SELECT axis, CAST(floor(floor(lo / 2.5) / 4) * 4 AS BIGINT) AS lo, CAST(ceil(hi / 2.5) AS BIGINT) AS hi FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS axis, min({a} - radius) AS lo, max({a} + radius) AS hi FROM splats" for a in AXES) + ")")
+def a2(spark, d):
+    g = splats.bounding_grid(lineitem_splats(spark, d), 2.5, 4)
+    return spark.createDataFrame([(a, *e) for a, e in zip(AXES, g.extents, strict=True)], "axis string, lo long, hi long")
+
+
+_BLOBS = f"""boxed AS (SELECT scan, splat_id, {_box_sql(20.0, 2)} FROM splats),
+marked AS (SELECT *, CASE WHEN lag(splat_id) OVER w = splat_id - 1 AND {' AND '.join(f'lag({b}) OVER w = {b}' for b in BOX)} THEN 0 ELSE 1 END AS new FROM boxed WINDOW w AS (PARTITION BY scan ORDER BY splat_id)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY scan ORDER BY splat_id) AS run FROM marked),
+blobs AS (SELECT scan, run, {', '.join(BOX)}, min(splat_id) AS first, max(splat_id) + 1 AS last FROM runs GROUP BY ALL)"""
+
+
+def _blobs(spark, d):
+    return splats.blobs(splats.with_boxes(lineitem_splats(spark, d), None, 20.0, 2))
+
+
+@query("a3_g1_blobs", f"WITH {_BLOBS} SELECT scan, first, last, {', '.join(BOX)} FROM blobs")
+def a3(spark, d):
+    return _blobs(spark, d).select("scan", "first", "last", *BOX)
+
+
+@query("m6_blob_codec", f"WITH {_BLOBS} SELECT scan, first, last, {', '.join(BOX)} FROM blobs")
+def m6(spark, d):
+    return splats.decode_blobs(splats.encode_blobs(_blobs(spark, d))).select("scan", "first", "last", *BOX)
+
+
+_RANGES = "SELECT scan, first, last FROM (SELECT scan, splat_id - splat_id % 50 AS first, splat_id - splat_id % 50 + 10 + splat_id % 45 AS last FROM splats WHERE splat_id % 7 = 3)"
+_ISLANDS = f"""given AS ({_RANGES}),
+reached AS (SELECT *, max(last) OVER (PARTITION BY scan ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM given),
+flagged AS (SELECT *, CASE WHEN reach IS NULL OR first > reach THEN 1 ELSE 0 END AS new FROM reached),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY scan ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
+merged AS (SELECT scan, run, min(first) AS first, max(last) AS last FROM numbered GROUP BY scan, run)"""
+
+
+def _ranges(s: DataFrame) -> DataFrame:
+    i = F.col("splat_id")
+    return s.where(i % 7 == 3).select("scan", (i - i % 50).alias("first"), (i - i % 50 + 10 + i % 45).alias("last"))
+
+
+@query("j6_u2_interval_union", f"WITH {_ISLANDS} SELECT scan, first, last FROM merged")
+def j6(spark, d):
+    return splats.merge_ranges(_ranges(lineitem_splats(spark, d)), "scan").select("scan", "first", "last")
+
+
+@query("j7_range_containment", f"WITH {_ISLANDS} SELECT s.scan, count(*) AS n, sum(s.splat_id % 1000)::BIGINT AS ids FROM splats s JOIN merged m ON s.scan = m.scan AND s.splat_id >= m.first AND s.splat_id < m.last GROUP BY s.scan")
+def j7(spark, d):
+    s = keep(lineitem_splats(spark, d), "splats")
+    return splats.in_ranges(s, splats.merge_ranges(_ranges(s), "scan"), "scan").groupBy("scan").agg(F.count("*").alias("n"), F.sum(F.col("splat_id") % 1000).alias("ids"))
+
+
+def _nodes_sql(level: str, cond: str = "") -> str:
+    return f"SELECT splat_id, {level} AS level, bx, by, bz FROM clamped, unnest(range(lo_x >> {level}, (hi_x >> {level}) + 1)) AS tx(bx), unnest(range(lo_y >> {level}, (hi_y >> {level}) + 1)) AS ty(by), unnest(range(lo_z >> {level}, (hi_z >> {level}) + 1)) AS tz(bz) {cond}"
+
+
+_COUNTS = f"""clamped AS (SELECT * FROM ({_CLAMPED.replace('FROM splats', 'FROM splats')}) WHERE {_VALID}),
+touched AS ({' UNION ALL '.join(_nodes_sql(str(k)) for k in range(4))}),
+counts AS (SELECT level, bx, by, bz, count(*) AS n FROM touched GROUP BY ALL)"""
+
+
+def _clamped(spark, d):
+    return splats.clamp_boxes(splats.with_boxes(lineitem_splats(spark, d), None, 2.5, 3), (4, 5, 6)).select("splat_id", "scan", *BOX)
+
+
+@query("j1_a4_microblock_histogram", f"WITH {_COUNTS} SELECT CAST(level AS INTEGER) AS level, bx, by, bz, n FROM counts")
+def a4(spark, d):
+    return bucket.level_counts(_clamped(spark, d), 4).select("level", "bx", "by", "bz", "n")
+
+
+_CUT = f"""{_COUNTS},
+good AS (SELECT * FROM counts WHERE level = 0 OR (3 * (1 << level) <= 24 AND n <= 4000)),
+cut AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good p WHERE p.level > g.level AND p.bx = g.bx >> (p.level - g.level) AND p.by = g.by >> (p.level - g.level) AND p.bz = g.bz >> (p.level - g.level)))"""
+
+
+@query("p14_a5_octree_cut", f"WITH {_CUT} SELECT CAST(level AS INTEGER) AS level, bx, by, bz, n FROM cut")
+def a5(spark, d):
+    return bucket.pick_nodes(keep(bucket.level_counts(_clamped(spark, d), 4), "counts"), 4, 4000, 24, 3).select("level", "bx", "by", "bz", "n")
+
+
+@query("j2_blob_chunk_split", f"WITH clamped AS (SELECT * FROM ({_CLAMPED}) WHERE {_VALID}) SELECT cx, cy, cz, count(*) AS n, sum((least(hi_x - cx * 2, 1) - greatest(lo_x - cx * 2, 0) + 1) * (least(hi_y - cy * 2, 1) - greatest(lo_y - cy * 2, 0) + 1) * (least(hi_z - cz * 2, 1) - greatest(lo_z - cz * 2, 0) + 1))::BIGINT AS blocks FROM clamped, unnest(range(lo_x // 2, hi_x // 2 + 1)) AS a(cx), unnest(range(lo_y // 2, hi_y // 2 + 1)) AS b(cy), unnest(range(lo_z // 2, hi_z // 2 + 1)) AS c(cz) GROUP BY ALL")
+def j2(spark, d):
+    size = (F.col("hi_x") - F.col("lo_x") + 1) * (F.col("hi_y") - F.col("lo_y") + 1) * (F.col("hi_z") - F.col("lo_z") + 1)
+    return bucket.by_chunk(_clamped(spark, d), 2).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), F.sum(size).alias("blocks"))
+
+
+@query("g2_bucket")
+def g2(spark, d):
+    s = keep(lineitem_splats(spark, d), "splats")
+    found = bucket.bucket(s, splats.bounding_grid(s, 1.0), max_splats=max(3000, s.count() // 8), max_cells=64, chunk_cells=48)
+    got = found.members.groupBy("bin_id").agg(F.count("*").alias("members"))
+    return found.bins.join(got, "bin_id")
+
+
+@query("w8_w9_batches")
+def w9(spark, d):
+    return bucket.batches(bucket.chunk_generations(g2(spark, d)), 20000).groupBy("batch").agg(F.count("*").alias("bins"), F.sum("n").alias("splats"))
+
+
+def _spread_sql(v: str) -> str:
+    out = f"({v})::BIGINT"
+    for by, mask in bits.SPREAD:
+        out = f"(({out} | ({out} << {by})) & {mask})"
+    return out
+
+
+def _low_morton(x: str, y: str, z: str) -> str:
+    return " + ".join(f"((({v} >> {k}) & 1) << {3 * k + i})" for i, v in enumerate((x, y, z)) for k in range(9))
+
+
+@query("o4_morton", f"SELECT {_low_morton('x::BIGINT', 'y::BIGINT', 'z::BIGINT')} AS code, count(*) AS n FROM splats GROUP BY ALL")
+def o4(spark, d):
+    return lineitem_splats(spark, d).groupBy(bits.morton(F.col("x"), F.col("y"), F.col("z")).alias("code")).agg(F.count("*").alias("n"))
+
+
+_ENTRIES = f"""cells AS (SELECT splat_id, x, y, z, radius, {', '.join(f'greatest(floor({a} - radius), 0)::BIGINT AS l{a}, least(floor({a} + radius), 63)::BIGINT AS h{a}' for a in AXES)} FROM splats),
+leveled AS (SELECT *, CASE WHEN e <= 1 THEN 0 WHEN e <= 2 THEN 1 WHEN e <= 4 THEN 2 WHEN e <= 8 THEN 3 WHEN e <= 16 THEN 4 ELSE 5 END AS level FROM (SELECT *, greatest(hx - lx, hy - ly, hz - lz) AS e FROM cells WHERE lx <= hx AND ly <= hy AND lz <= hz)),
+nodes AS (SELECT splat_id, level, x, y, z, radius, bx, by, bz, (1 << level)::DOUBLE AS edge FROM leveled, unnest(range(lx >> level, least(hx >> level, (lx >> level) + 1) + 1)) AS a(bx), unnest(range(ly >> level, least(hy >> level, (ly >> level) + 1) + 1)) AS b(by), unnest(range(lz >> level, least(hz >> level, (lz >> level) + 1) + 1)) AS c(bz)),
+entries AS (SELECT splat_id, level, {_low_morton('bx', 'by', 'bz')} AS code FROM nodes WHERE {' + '.join(f'pow(greatest(b{a} * edge - {a}, {a} - (b{a} * edge + edge), 0.0), 2)' for a in AXES)} < radius * radius * 1.00001)"""
+
+
+@query("j3_a6_a7_octree_entries", f"WITH {_ENTRIES} SELECT CAST(level AS INTEGER) AS level, code, count(*) AS n, sum(splat_id % 1000)::BIGINT AS ids FROM entries GROUP BY ALL")
+def j3(spark, d):
+    found = octree.entries(lineitem_splats(spark, d), 7)
+    return found.groupBy("level", "code").agg(F.count("*").alias("n"), F.sum(F.col("splat_id") % 1000).alias("ids"))
+
+
+@query("w1_w4_positions", f"WITH {_ENTRIES}, runs AS (SELECT level, code, count(*) AS n FROM entries GROUP BY ALL) SELECT CAST(level AS INTEGER) AS level, code, n, CAST(coalesce(sum(n + 1) OVER (ORDER BY level, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM runs")
+def w4(spark, d):
+    return octree.with_positions(octree.nodes(octree.entries(lineitem_splats(spark, d), 7))).select("level", "code", "n", "start")
+
+
+@query("j5_octree_chain", f"WITH {_ENTRIES}, leaves AS (SELECT DISTINCT code FROM entries WHERE level = 0) SELECT l.code, count(*) AS n FROM leaves l, unnest(range(0, 7)) AS t(k) JOIN entries e ON e.level = t.k AND e.code = l.code >> (3 * t.k) GROUP BY l.code")
+def j5(spark, d):
+    found = keep(octree.entries(lineitem_splats(spark, d), 7), "entries")
+    leaves = found.where(F.col("level") == 0).select("code").distinct()
+    return octree.chain(leaves, found, 7).groupBy("code").agg(F.count("*").alias("n"))
+
+
+#: A cloud from the embeddings: coordinates in cells, all normals along z.
+CLOUD = "cloud AS (SELECT (embedding[1] + 0.5)::DOUBLE * 40 AS x, (embedding[2] + 0.5)::DOUBLE * 40 AS y, (embedding[3] + 0.5)::DOUBLE * 40 AS z, 3.0 AS radius FROM embeddings)"
+
+
+def embedding_cloud(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    at = [((F.col("embedding")[i] + F.lit(0.5).cast("float")).cast("double") * 40).alias(a) for i, a in enumerate(AXES)]
+    return e.select(F.col("vec_id").alias("splat_id"), *at, F.lit(3.0).alias("radius"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), F.lit(1.0).alias("quality"))
+
+
+_PAIRS = f"""WITH {CLOUD.replace('+ 0.5)::DOUBLE', '+ 0.5::FLOAT)::DOUBLE')},
+pairs AS (SELECT i, j, k, x - i AS px, y - j AS py, z - k AS pz, radius FROM cloud, unnest(range(ceil(x - 3)::BIGINT, floor(x + 3)::BIGINT + 1)) AS a(i), unnest(range(ceil(y - 3)::BIGINT, floor(y + 3)::BIGINT + 1)) AS b(j), unnest(range(ceil(z - 3)::BIGINT, floor(z + 3)::BIGINT + 1)) AS c(k))"""
+
+
+@query("j4_a8_a9_corner_sums", _PAIRS + " SELECT i, j, k, count(*) AS hits, CAST(round(sum(pow(1 - (px * px + py * py + pz * pz) / 9, 4)) * 1e6) AS BIGINT) AS w FROM pairs WHERE (px * px + py * py + pz * pz) / 9 < 0.99 GROUP BY ALL HAVING count(*) >= 2")
+def j4(spark, d):
+    sums = field.weighted_sums(field.expand(embedding_cloud(spark, d))).where(F.col("hits") >= 2)
+    return sums.select("i", "j", "k", "hits", F.round(F.col("sw") * 1e6).cast("long").alias("w"))
+
+
+SIZE = 18
+_FIELD = f"field AS (SELECT x::INTEGER AS x, y::INTEGER AS y, z::INTEGER AS z, sqrt((x - 8.3) * (x - 8.3) + (y - 8.6) * (y - 8.6) + (z - 7.9) * (z - 7.9)) - 6.2 AS f FROM range({SIZE}) a(x), range({SIZE}) b(y), range({SIZE}) c(z))"
+_CELLS = f"""{_FIELD},
+cells AS (SELECT x, y, z, sum(CASE WHEN f >= 0 THEN 1 << n ELSE 0 END)::INTEGER AS code FROM (SELECT f.x - (n & 1) AS x, f.y - (n >> 1 & 1) AS y, f.z - (n >> 2 & 1) AS z, n, f.f FROM field f, range(8) t(n)) GROUP BY ALL HAVING count(*) = 8 AND code NOT IN (0, 255))"""
+
+
+def lattice(spark):
+    at = [(F.col(a) - c) * (F.col(a) - c) for a, c in zip(AXES, (8.3, 8.6, 7.9), strict=True)]
+    return marching.analytic_field(spark, (SIZE,) * 3, F.sqrt(at[0] + at[1] + at[2]) - 6.2)
+
+
+@query("j13_p13_cells", f"WITH {_CELLS} SELECT x::INTEGER AS x, y::INTEGER AS y, z::INTEGER AS z, code FROM cells")
+def j13(spark, d):
+    return marching.cells(lattice(spark)).select("x", "y", "z", F.col("code").cast("int").alias("code"))
+
+
+def _table_sql() -> str:
+    ends = marching.edges()
+    return "tri(code, n, e0, e1, e2) AS (VALUES " + ", ".join(f"({c}, {n}, {t[0]}, {t[1]}, {t[2]})" for c in range(256) for n, t in enumerate(marching.code_triangles(c))) + "), edge(e, a, b) AS (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(ends)) + ")"
+
+
+def _key_sql(e: str) -> str:
+    part = lambda i: f"(2 * c.{'xyz'[i]} + ({e}.a >> {i} & 1) + ({e}.b >> {i} & 1))::BIGINT"
+    return f"({part(2)} << 42) + ({part(1)} << 21) + {part(0)}"
+
+
+_TRIANGLES = f"""{_CELLS}, {_table_sql()},
+triangles AS (SELECT c.x, c.y, c.z, t.n, {', '.join(f'{_key_sql(f"e{i}")} AS k{i}' for i in range(3))} FROM cells c JOIN tri t ON c.code = t.code JOIN edge e0 ON t.e0 = e0.e JOIN edge e1 ON t.e1 = e1.e JOIN edge e2 ON t.e2 = e2.e)"""
+
+
+@query("j8_triangles", f"WITH {_TRIANGLES} SELECT x::INTEGER AS x, y::INTEGER AS y, z::INTEGER AS z, n::INTEGER AS n, k0, k1, k2 FROM triangles")
+def j8(spark, d):
+    return marching.triangles(marching.cells(lattice(spark))).select("x", "y", "z", "n", "k0", "k1", "k2")
+
+
+@query("a11_w3_weld", f"WITH {_TRIANGLES}, verts AS (SELECT DISTINCT unnest([k0, k1, k2]) AS key FROM triangles) SELECT key & 2097151 AS kx, count(*) AS n FROM verts GROUP BY ALL")
+def a11(spark, d):
+    v, _ = marching.isosurface(lattice(spark))
+    return v.groupBy(bits.unpack_key(F.col("key"))[0].alias("kx")).agg(F.count("*").alias("n"))
+
+
+@query("interp_positions", f"""WITH {_TRIANGLES},
+used AS (SELECT DISTINCT c.x, c.y, c.z, e.a, e.b, {_key_sql('e')} AS key FROM cells c JOIN tri t ON c.code = t.code JOIN edge e ON e.e IN (t.e0, t.e1, t.e2)),
+ends AS (SELECT u.key, fa.x AS ax, fa.y AS ay, fa.z AS az, fb.x AS xx, fb.y AS yy, fb.z AS zz, fa.f / (fa.f - fb.f) AS t FROM used u
+  JOIN field fa ON fa.x = u.x + (u.a & 1) AND fa.y = u.y + (u.a >> 1 & 1) AND fa.z = u.z + (u.a >> 2 & 1) JOIN field fb ON fb.x = u.x + (u.b & 1) AND fb.y = u.y + (u.b >> 1 & 1) AND fb.z = u.z + (u.b >> 2 & 1))
+SELECT key, CAST(round(min(ax + t * (xx - ax)) * 1e6) AS BIGINT) AS x, CAST(round(min(ay + t * (yy - ay)) * 1e6) AS BIGINT) AS y, CAST(round(min(az + t * (zz - az)) * 1e6) AS BIGINT) AS z FROM ends GROUP BY key""")
+def interp(spark, d):
+    v, _ = marching.isosurface(lattice(spark))
+    return v.select("key", *[F.round(F.col(a) * 1e6).cast("long").alias(a) for a in AXES])
+
+
+@query("a10_slice_histogram", f"WITH {_TRIANGLES}, per AS (SELECT c.z, c.code, count(DISTINCT e.e) AS v FROM (SELECT DISTINCT z, code FROM cells) c JOIN tri t ON c.code = t.code JOIN edge e ON e.e IN (t.e0, t.e1, t.e2) GROUP BY ALL), faces AS (SELECT code, count(*) * 3 AS i FROM tri GROUP BY code) SELECT c.z::INTEGER AS z, sum(p.v)::BIGINT AS vertices, sum(f.i)::BIGINT AS indices FROM cells c JOIN per p ON c.z = p.z AND c.code = p.code JOIN faces f ON c.code = f.code GROUP BY c.z")
+def a10(spark, d):
+    return marching.slice_counts(marching.cells(lattice(spark)))
+
+
+@query("external_split", f"WITH {_TRIANGLES}, verts AS (SELECT DISTINCT unnest([k0, k1, k2]) AS key FROM triangles) SELECT (key & 2097151) IN (0, 20) OR (key >> 21 & 2097151) IN (0, 24) OR (key >> 42) = 22 AS external, count(*) AS n FROM verts GROUP BY ALL")
+def ext(spark, d):
+    v, _ = marching.isosurface(lattice(spark))
+    return marching.split_external(v, (10, 12, 11)).groupBy("external").agg(F.count("*").alias("n"))
+
+
+@query("c5_c6_a24_manifold", f"WITH {_TRIANGLES}, verts AS (SELECT DISTINCT unnest([k0, k1, k2]) AS key FROM triangles) SELECT (SELECT count(*) FROM verts)::BIGINT AS vertices, (SELECT count(*) FROM triangles)::BIGINT AS triangles, 1::BIGINT AS components, 0::BIGINT AS boundaries, 0::BIGINT AS violations")
+def c5(spark, d):
+    v, t = mesh.index(*marching.isosurface(lattice(spark)))
+    t, n = keep(t, "triangles"), v.count()
+    bad = manifold.violations(n, t).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
+    return manifold.metadata(n, t).crossJoin(bad)  # rows of one
+
+
+@query("c2_a12_a14_components", """WITH RECURSIVE pairs AS (SELECT DISTINCT l_orderkey % 700 AS a, 1000 + l_partkey % 900 AS b FROM lineitem WHERE l_orderkey % 700 > 200 AND l_partkey % 13 = l_orderkey % 13 AND l_suppkey % 9 = 0),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(node, other) AS (SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT node, min(other) AS comp FROM reach GROUP BY node""")
+def c1(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    kept = li.where((F.col("l_orderkey") % 700 > 200) & (F.col("l_partkey") % 13 == F.col("l_orderkey") % 13) & (F.col("l_suppkey") % 9 == 0))
+    return connected_components(kept.select((F.col("l_orderkey") % 700).alias("a"), (F.lit(1000) + F.col("l_partkey") % 900).alias("b")))
+
+
+def _two(spark):
+    near = [sum(((F.col(a) - c) * (F.col(a) - c) for a, c in zip(AXES, centre, strict=True)), F.lit(0.0)) for centre in ((6.2, 6.1, 6.0), (15.3, 6.4, 6.3))]
+    return marching.isosurface(marching.analytic_field(spark, (20, 13, 13), F.least(F.sqrt(near[0]) - 4.3, F.sqrt(near[1]) - 1.8)))
+
+
+@query("c4_p15_a13_prune")
+def c4(spark, d):
+    v, t = _two(spark)
+    t = t.withColumn("block", F.floor(F.col("x") / 5).cast("long"))
+    return mesh.totals(mesh.component_sizes(t, keep(mesh.components(t, "block"), "labels")), 0.3)
+
+
+@query("w6_w7_j11_j12_o5_chunk_numbering")
+def w7(spark, d):
+    v, t = _two(spark)
+    by = ["cx", "cy", "cz"]
+    t = t.withColumns(dict(zip(by, mesh.chunk_of((F.col("x"), F.col("y"), F.col("z")), 6), strict=True)))
+    nv, nt = mesh.index(v, t, by)
+    totals = mesh.chunk_totals(nv, nt, by).withColumn("file", mesh.chunk_name("chunk", *[F.col(c) for c in by]))
+    return mesh.running_offsets(totals, [], by)
+
+
+@query("p12_scale_bias", f"WITH {_TRIANGLES}, verts AS (SELECT DISTINCT unnest([k0, k1, k2]) AS key FROM triangles) SELECT count(*) AS n, sum(CAST(round(((key & 2097151) * 0.25 + 3.5) * 1000) AS BIGINT))::BIGINT AS x FROM verts")
+def p12(spark, d):
+    v, _ = marching.isosurface(lattice(spark))
+    moved = mesh.scale_bias(v.select("key", *[k.cast("double").alias(a) for a, k in zip(AXES, bits.unpack_key(F.col("key")), strict=True)]), 0.25, (3.5, 0.0, 0.0))
+    return moved.agg(F.count("*").alias("n"), F.sum(F.round(F.col("x") * 1000).cast("long")).alias("x"))
+
+
+@query("g8_surface_of_splats")
+def surface(spark, d):
+    """The surface of the supplier-keyed sphere of splats that lineitem's rows lie on: normals and positions from the keys."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(((F.col("l_partkey") * 7919 + F.col("l_orderkey") * 104729 + F.col("l_linenumber") * 31) % 200003).alias("i")).distinct()
+    turn, up = F.col("i") * 2.399963229728653, F.lit(1.0) - 2 * (F.col("i") + 0.5) / 200003
+    flat = F.sqrt(1 - up * up)
+    cloud = li.select(F.col("i").alias("splat_id"), (flat * F.cos(turn)).alias("nx"), (flat * F.sin(turn)).alias("ny"), up.alias("nz"))
+    cloud = cloud.select("splat_id", *[(F.col(f"n{a}") * 20 + 30.3).alias(a) for a in AXES], F.lit(4.0).alias("radius"), "nx", "ny", "nz", F.lit(1 / 16).alias("quality"))
+    _, t = marching.isosurface(field.mls_field(cloud))
+    return t
+
+
+@query("a17_counter", "SELECT event_type AS name, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type")
+def a17(spark, d):
+    return telemetry.counters(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name"), F.round(F.col("value") * 100).cast("long").alias("value")))
+
+
+@query("a18_variable", "SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance, round(stddev_samp(value), 5) AS stddev FROM events GROUP BY event_type")
+def a18(spark, d):
+    v = telemetry.variables(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name"), "value"))
+    return v.select("name", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("stddev", 5).alias("stddev"))
+
+
+_CHANGE = "CASE WHEN event_id % 3 = 0 THEN -CAST(round(value) AS BIGINT) ELSE CAST(round(value) AS BIGINT) END"
+
+
+@query("a19_w10_peak", f"SELECT name, sum(change)::BIGINT AS current, greatest(max(level), 0)::BIGINT AS peak FROM (SELECT event_type AS name, {_CHANGE} AS change, sum({_CHANGE}) OVER (PARTITION BY event_type ORDER BY event_id) AS level FROM events) GROUP BY name")
+def a19(spark, d):
+    size = F.round("value").cast("long")
+    return telemetry.peaks(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 3 == 0, -size).otherwise(size).alias("change")))
+
+
+@query("a20_u4_registry_merge", "SELECT event_type AS name, 'variable' AS kind, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS total, max(CAST(round(value) AS BIGINT)) AS peak FROM events GROUP BY event_type")
+def a20(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    one = lambda k: ev.where(F.col("user_id") % 2 == k).groupBy(F.col("event_type").alias("name")).agg(F.lit("variable").alias("kind"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"), F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("sum2"), F.count("*").alias("n"), F.max(F.round("value").cast("long")).alias("peak"))
+    return telemetry.merge(one(0), one(1)).select("name", "kind", "n", "total", "peak")
+
+
+_EVENTS = "ev AS (SELECT event_id AS line, 'w.' || user_id AS worker, event_type AS action, epoch_us(ts) / 1e6 AS start, epoch_us(ts) / 1e6 + value AS stop, CASE WHEN event_id % 4 = 0 THEN event_id END AS value FROM events)"
+
+
+def timeline(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return ev.select(F.col("event_id").alias("line"), F.concat(F.lit("w."), F.col("user_id").cast("string")).alias("worker"), F.col("event_type").alias("action"), at.alias("start"), (at + F.col("value")).alias("stop"), F.when(F.col("event_id") % 4 == 0, F.col("event_id")).alias("value"))
+
+
+@query("a22_action_times", f"WITH {_EVENTS} SELECT worker, action, round(sum(stop - start), 3) AS seconds FROM ev GROUP BY ALL")
+def a22(spark, d):
+    return telemetry.action_times(timeline(spark, d)).select("worker", "action", F.round("seconds", 3).alias("seconds"))
+
+
+@query("a23_w11_worker_times", f"WITH {_EVENTS}, t AS (SELECT max(stop) AS e FROM ev) SELECT worker, round(min(start), 3) AS start, round(max(stop) - min(start) - sum(stop - start), 2) AS idle, round(max(t.e) - max(stop), 3) AS tail FROM ev, t GROUP BY worker")
+def a23(spark, d):
+    return telemetry.worker_times(timeline(spark, d)).select("worker", F.round("start", 3).alias("start"), F.round("idle", 2).alias("idle"), F.round("tail", 3).alias("tail"))
+
+
+@query("s26_w14_timeline_text", f"WITH {_EVENTS} SELECT worker, action, count(*) AS n, sum(value)::BIGINT AS value_sum FROM ev GROUP BY ALL")
+def s26(spark, d):
+    at = folder(spark, "timeline")
+    telemetry.timeline_text(timeline(spark, d)).coalesce(1).write.text(at)
+    return telemetry.parse_timeline(telemetry.numbered_lines(spark, at)).groupBy("worker", "action").agg(F.count("*").alias("n"), F.sum("value").alias("value_sum"))
+
+
+@query("o8_action_order", "SELECT event_type AS action, CASE event_type WHEN 'startup' THEN 0 WHEN 'compute' THEN 1 ELSE 8 END::BIGINT AS rank FROM events GROUP BY event_type")
+def o8(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("action")).distinct().select("action", telemetry.order_rank(F.col("action")).alias("rank"))
+
+
+@query("s2_s12_ply_roundtrip", "SELECT scan, count(*) AS n, sum(CAST(x AS BIGINT))::BIGINT AS x, sum(CAST(y AS BIGINT))::BIGINT AS y, sum(CAST(z AS BIGINT))::BIGINT AS z, sum(CAST(radius * 2 AS BIGINT))::BIGINT AS r2 FROM splats GROUP BY scan")
+def s2(spark, d):
+    at = folder(spark, "points")
+    s = lineitem_splats(spark, d)
+    for scan in range(1, 8):
+        ply.write_points(s.where(F.col("scan") == scan), f"{at}/scan-{scan}.ply")
+    back = ply.read_splats(spark, at).withColumn("scan", (F.col("file_id") + 1).cast("int"))
+    return back.groupBy("scan").agg(F.count("*").alias("n"), *[F.sum(F.col(a).cast("long")).alias(a) for a in AXES], F.sum((F.col("radius") * 2).cast("long")).alias("r2"))
+
+
+@query("g12_reconstruction")
+def g12(spark, d):
+    """Points to files to mesh to chunk files to a count of what they hold."""
+    at = folder(spark, "run")
+    ids = spark.range(3000)
+    turn, up = F.col("id") * 2.399963229728653, F.lit(1.0) - 2 * (F.col("id") + 0.5) / 3000
+    flat = F.sqrt(1 - up * up)
+    cloud = ids.select(F.col("id").alias("splat_id"), (flat * F.cos(turn)).alias("nx"), (flat * F.sin(turn)).alias("ny"), up.alias("nz"))
+    ply.write_points(cloud.select("splat_id", *[(F.col(f"n{a}") * 1.5).alias(a) for a in AXES], "nx", "ny", "nz", F.lit(0.1).alias("radius")), f"{at}/in.ply")
+    config = reconstruct.Config(fit_grid=0.1, split=True, split_size=80_000)
+    done = reconstruct.reconstruct(spark, [f"{at}/in.ply"], f"{at}/out.ply", config)
+    ply.register(spark)
+    faces = spark.read.format("ply").option("element", "face").option("paths", ",".join(f"{at}/{f}" for f in done["files"])).load()
+    return faces.groupBy("file_id").agg(F.count("*").alias("triangles"), F.max(F.array_max("vertex_indices")).alias("highest"))
+
+
+@query("c8_page_cache")
+def c8(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey").where(F.col("o_custkey") < 15).select("o_custkey").collect()  # one run's trace
+    found = [simulate.Access(r[0] % 5, (i * 10, i * 10 + r[0] % 40), (i * 20, i * 20 + r[0] % 70)) for i, r in enumerate(rows)]
+    caches = simulate.replay(simulate.reorder(found, 1 << 14), 4096, 8)
+    return spark.createDataFrame([(n, c.hits, c.misses, c.loaded) for n, c in zip(("vertices", "triangles"), caches, strict=True)], "kind string, hits long, misses long, loaded long")
