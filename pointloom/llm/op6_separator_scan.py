@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pointloom.llm import staging
 from pointloom.llm.op3_token_store import default_tokenizer, encoder_of, portions, vocabulary
 
-BLOCK, FILE_BYTES = 4 << 20, 64 << 20
+BLOCK, FILE_BYTES = 2 << 20, 16 << 20
 
 
 def write_flat(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, separator: int) -> DataFrame:
