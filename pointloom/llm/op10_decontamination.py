@@ -118,7 +118,9 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, remove: str = "document
         boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"), F.col(text_col).alias("__text"), words(F.col(text_col)).alias("__w"))
         hit = boxed.withColumn("__hits", _hits(block)).withColumn("__places", _places("__hits"))
         if remove == "documents":
-            documents = hit.where(F.size("__places") <= max_hit_share * F.size("__w")).select(*[F.col(f"__doc.`{c}`").alias(c) for c in columns])
+            # not a filter on the hits: pushed down, it would put the scan for words inside the scan for windows
+            kept = hit.select(F.explode_outer(F.when(F.size("__places") <= max_hit_share * F.size("__w"), F.array("__doc"))).alias("__doc")).where(F.col("__doc").isNotNull())
+            documents = kept.select(*[F.col(f"__doc.`{c}`").alias(c) for c in columns])
             continue
         parts = hit.withColumn("__raw", F.regexp_extract_all(F.coalesce("__text", F.lit("")), F.lit(f"({RAW_WORD})"), F.lit(0))).withColumn("__gaps", F.split(F.coalesce("__text", F.lit("")), RAW_WORD))
         cut = F.expr("concat(array_join(transform(__raw, (x, i) -> if(array_contains(__places, i), '', concat(__gaps[i], x))), ''), element_at(__gaps, -1))")

@@ -24,4 +24,4 @@ def cut(df: DataFrame, key: Column, size: Column, target: int) -> tuple[Column,
             number, total = number + 1, 0
         total += more
         of_bin.append(number)
-    return F.coalesce(F.element_at(F.lit(of_bin), place + 1), F.lit(0)), number + 1
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.try_element_at(F.lit(of_bin), place + 1)), number + 1
