@@ -167,29 +167,29 @@ def j7(spark, d):
 
 
 def _nodes_sql(level: str, cond: str = "") -> str:
-    return f"SELECT splat_id, {level} AS level, bx, by, bz FROM clamped, unnest(range(lo_x >> {level}, (hi_x >> {level}) + 1)) AS tx(bx), unnest(range(lo_y >> {level}, (hi_y >> {level}) + 1)) AS ty(by), unnest(range(lo_z >> {level}, (hi_z >> {level}) + 1)) AS tz(bz) {cond}"
+    return f"SELECT splat_id, {level} AS level, bx, \"by\", bz FROM clamped, unnest(range(lo_x >> {level}, (hi_x >> {level}) + 1)) AS tx(bx), unnest(range(lo_y >> {level}, (hi_y >> {level}) + 1)) AS ty(\"by\"), unnest(range(lo_z >> {level}, (hi_z >> {level}) + 1)) AS tz(bz) {cond}"
 
 
 _COUNTS = f"""clamped AS (SELECT * FROM ({_CLAMPED.replace('FROM splats', 'FROM splats')}) WHERE {_VALID}),
 touched AS ({' UNION ALL '.join(_nodes_sql(str(k)) for k in range(4))}),
-counts AS (SELECT level, bx, by, bz, count(*) AS n FROM touched GROUP BY ALL)"""
+counts AS (SELECT level, bx, "by", bz, count(*) AS n FROM touched GROUP BY ALL)"""
 
 
 def _clamped(spark, d):
     return splats.clamp_boxes(splats.with_boxes(lineitem_splats(spark, d), None, 2.5, 3), (4, 5, 6)).select("splat_id", "scan", *BOX)
 
 
-@query("j1_a4_microblock_histogram", f"WITH {_COUNTS} SELECT CAST(level AS INTEGER) AS level, bx, by, bz, n FROM counts")
+@query("j1_a4_microblock_histogram", f"WITH {_COUNTS} SELECT CAST(level AS INTEGER) AS level, bx, \"by\", bz, n FROM counts")
 def a4(spark, d):
     return bucket.level_counts(_clamped(spark, d), 4).select("level", "bx", "by", "bz", "n")
 
 
 _CUT = f"""{_COUNTS},
 good AS (SELECT * FROM counts WHERE level = 0 OR (3 * (1 << level) <= 24 AND n <= 4000)),
-cut AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good p WHERE p.level > g.level AND p.bx = g.bx >> (p.level - g.level) AND p.by = g.by >> (p.level - g.level) AND p.bz = g.bz >> (p.level - g.level)))"""
+cut AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good p WHERE p.level > g.level AND p.bx = g.bx >> (p.level - g.level) AND p."by" = g."by" >> (p.level - g.level) AND p.bz = g.bz >> (p.level - g.level)))"""
 
 
-@query("p14_a5_octree_cut", f"WITH {_CUT} SELECT CAST(level AS INTEGER) AS level, bx, by, bz, n FROM cut")
+@query("p14_a5_octree_cut", f"WITH {_CUT} SELECT CAST(level AS INTEGER) AS level, bx, \"by\", bz, n FROM cut")
 def a5(spark, d):
     return bucket.pick_nodes(keep(bucket.level_counts(_clamped(spark, d), 4), "counts"), 4, 4000, 24, 3).select("level", "bx", "by", "bz", "n")
 
@@ -231,8 +231,8 @@ def o4(spark, d):
 
 _ENTRIES = f"""cells AS (SELECT splat_id, x, y, z, radius, {', '.join(f'greatest(floor({a} - radius), 0)::BIGINT AS l{a}, least(floor({a} + radius), 63)::BIGINT AS h{a}' for a in AXES)} FROM splats),
 leveled AS (SELECT *, CASE WHEN e <= 1 THEN 0 WHEN e <= 2 THEN 1 WHEN e <= 4 THEN 2 WHEN e <= 8 THEN 3 WHEN e <= 16 THEN 4 ELSE 5 END AS level FROM (SELECT *, greatest(hx - lx, hy - ly, hz - lz) AS e FROM cells WHERE lx <= hx AND ly <= hy AND lz <= hz)),
-nodes AS (SELECT splat_id, level, x, y, z, radius, bx, by, bz, (1 << level)::DOUBLE AS edge FROM leveled, unnest(range(lx >> level, least(hx >> level, (lx >> level) + 1) + 1)) AS a(bx), unnest(range(ly >> level, least(hy >> level, (ly >> level) + 1) + 1)) AS b(by), unnest(range(lz >> level, least(hz >> level, (lz >> level) + 1) + 1)) AS c(bz)),
-entries AS (SELECT splat_id, level, {_low_morton('bx', 'by', 'bz')} AS code FROM nodes WHERE {' + '.join(f'pow(greatest(b{a} * edge - {a}, {a} - (b{a} * edge + edge), 0.0), 2)' for a in AXES)} < radius * radius * 1.00001)"""
+nodes AS (SELECT splat_id, level, x, y, z, radius, bx, "by", bz, (1 << level)::DOUBLE AS edge FROM leveled, unnest(range(lx >> level, least(hx >> level, (lx >> level) + 1) + 1)) AS a(bx), unnest(range(ly >> level, least(hy >> level, (ly >> level) + 1) + 1)) AS b("by"), unnest(range(lz >> level, least(hz >> level, (lz >> level) + 1) + 1)) AS c(bz)),
+entries AS (SELECT splat_id, level, {_low_morton('bx', '"by"', 'bz')} AS code FROM nodes WHERE {' + '.join(f'pow(greatest("b{a}" * edge - {a}, {a} - ("b{a}" * edge + edge), 0.0), 2)' for a in AXES)} < radius * radius * 1.00001)"""
 
 
 @query("j3_a6_a7_octree_entries", f"WITH {_ENTRIES} SELECT CAST(level AS INTEGER) AS level, code, count(*) AS n, sum(splat_id % 1000)::BIGINT AS ids FROM entries GROUP BY ALL")
@@ -246,10 +246,10 @@ def w4(spark, d):
     return octree.with_positions(octree.nodes(octree.entries(lineitem_splats(spark, d), 7))).select("level", "code", "n", "start")
 
 
-@query("j5_octree_chain", f"WITH {_ENTRIES}, leaves AS (SELECT DISTINCT code FROM entries WHERE level = 0) SELECT l.code, count(*) AS n FROM leaves l, unnest(range(0, 7)) AS t(k) JOIN entries e ON e.level = t.k AND e.code = l.code >> (3 * t.k) GROUP BY l.code")
+@query("j5_octree_chain", f"WITH {_ENTRIES}, leaves AS (SELECT DISTINCT code << (3 * level) AS code FROM entries) SELECT l.code, count(*) AS n FROM leaves l, unnest(range(0, 7)) AS t(k) JOIN entries e ON e.level = t.k AND e.code = l.code >> (3 * t.k) GROUP BY l.code")
 def j5(spark, d):
     found = keep(octree.entries(lineitem_splats(spark, d), 7), "entries")
-    leaves = found.where(F.col("level") == 0).select("code").distinct()
+    leaves = found.select(F.call_function("shiftleft", F.col("code"), F.col("level") * 3).alias("code")).distinct()
     return octree.chain(leaves, found, 7).groupBy("code").agg(F.count("*").alias("n"))
 
 
