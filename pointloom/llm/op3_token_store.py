@@ -42,8 +42,8 @@ MAGIC, END = b"PLTOKS1\n", 1
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 2000, 64 << 10
 #: Text bytes of a range (a task), and id bytes after which a shard is rolled.
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
-#: Words that a process remembers: about 100 MB.
-CACHE_WORDS = 500_000
+#: Words that a process remembers: about 60 MB.
+CACHE_WORDS = 300_000
 MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long"
 
 
@@ -105,8 +105,8 @@ class Encoder:
             else:
                 rest.append(word)
         plain = rest
-        for i in range(0, len(plain), 50_000):
-            part = plain[i : i + 50_000]
+        for i in range(0, len(plain), 5_000):
+            part = plain[i : i + 5_000]
             ids = [code.ids for code in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
             cuts = np.cumsum([0, *map(len, ids)]) * int(self.kind[-1])
             blob = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
@@ -147,7 +147,7 @@ def encoder_of(tokenizer_path: str, width: int, plain: bool = False) -> Encoder:
     return _encoders[key]
 
 
-def portions(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most about ``limit`` characters of text (or one row)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     i = 0
