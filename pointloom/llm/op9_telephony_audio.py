@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.llm import staging
 
@@ -161,7 +162,7 @@ def decode(media: DataFrame, *, media_col: str = "media", pcm_col: str = "pcm16k
                 pcm = [None if x is None else resample(x).astype("<i2").tobytes() for x in expand([unwrap(x.as_py()) for x in part.column(at)])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary())], names=[*part.schema.names, pcm_col])
 
-    return media.mapInArrow(work, media.schema.add(pcm_col, "binary"))
+    return media.mapInArrow(work, T.StructType([*media.schema.fields, T.StructField(pcm_col, T.BinaryType())]))
 
 
 def feature(codec: str, pcm: np.ndarray) -> str:
