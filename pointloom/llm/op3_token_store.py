@@ -116,7 +116,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each begins (with the total at the end). Distinct words are found by Arrow, the ids are put together by numpy."""
-        texts = texts.cast(pa.large_string()).fill_null("")
+        # copied first: Arrow's kernels misread a slice that was cast
+        texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")
         # lower case first makes fewer words; the tokenizer lower-cases too, but finds its special strings before
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(texts)
