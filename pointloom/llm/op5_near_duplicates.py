@@ -1,17 +1,18 @@
 """Near-duplicate detection with DartMinHash signatures and banded joining.
 
-A document is the weighted set of its five-word shingles (lower-cased words of ASCII letters and digits and all else that is not ASCII; a
-text of one to four words has one shingle), each weighing 1 + ln(occurrences). Darts are thrown by hashes: the weight axis of an element is cut into
-regions of height one, and in each region darts arrive, in order of rank, as a Poisson process of rate one whose arrivals and heights are
+A document is the set of its five-word shingles (lower-cased words of ASCII letters and digits and all else that is not ASCII; a
+text of one to four words has one shingle), each of weight one however often it occurs, so that signatures agree as often as the similarity that
+defines a link says. Darts are thrown by hashes: the weight axis of an element is cut into regions of height one, and in each region darts arrive, in order of rank, as a Poisson process of rate one whose arrivals and heights are
 hashes of (shingle, region, arrival). A dart hits the document if its height is within the weight. All darts of ranks up to a bound
 are enumerated at once - the bound is set so that about ``THROWS`` hit, whatever the number of elements - each is hashed to
 one of ``COORDS`` coordinates, and the earliest dart of each coordinate is kept; the bound is doubled where a coordinate stays empty.
-Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
+Two documents agree in a coordinate with the probability of their sets' Jaccard similarity.
 
 Documents that agree in all ``ROWS`` coordinates of one of ``BANDS`` bands share a bucket (at similarity 0.8 that is missed with probability 3e-6).
 Equal texts are one document from the start. In a bucket, all are compared with the smallest id; a bucket whose documents are then in several
 components gets more of them to compare with, of those outside its largest component, until every pair of
-different components has been compared, at first by four bits of each coordinate. So pairs within a component are not made for nothing, and
+different components has been compared, at first by a bound that no link exceeds: every element is one of ``64 x MAP`` bits of its
+document's map, and each bit that only one of two documents has stands for at least one element that the other has not. So pairs within a component are not made for nothing, and
 large groups of near copies have grown together before many of them are asked for. A pair
 is a link if the exact Jaccard similarity of its shingle sets is ``THRESHOLD`` or more. Classes are the connected
 components of the links; their id is the smallest document id.
@@ -41,8 +42,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 COORDS = BANDS * ROWS
 THROWS = COORDS * (np.log(COORDS) + 2.5)
-#: Of the coordinates' four bits, more than these differ in a link with probability 2e-5 (81 % agree on average at THRESHOLD).
-UNLIKE = 34
+#: Numbers of 64 bits in a document's map of elements.
+MAP = 16
 #: Ids up to this number are broadcast (8 MB); more are joined by a shuffle.
 SMALL = 1_000_000
 U64 = np.uint64
@@ -52,12 +53,12 @@ def _salt(k: int) -> np.uint64:
     return U64((k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
 
 
-def weigh(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, shingle), sorted by row, and their weights."""
+def distinct(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, shingle), sorted by row."""
     order = np.lexsort((shingle, row))
     row, shingle = row[order], shingle[order]
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])])) if len(row) else np.zeros(0, np.int64)
-    return row[new], shingle[new], 1 + np.log(np.diff(np.append(new, len(row))))
+    return row[new], shingle[new]
 
 
 def dart_minhash(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int, coords: int = COORDS, throws: float = THROWS) -> np.ndarray:
@@ -108,20 +109,23 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def digits_of(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen to a number: two sets agree in them a little more often than they are similar."""
-    four = (signature >> U64(44) & U64(15)).reshape(len(signature), -1, 16)
-    return np.bitwise_or.reduce(four << (U64(4) * np.arange(16, dtype=U64)), axis=2)
+def maps_of(row: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
+    """The map (rows x MAP) of each row's elements: a bit for each element, the same in every document."""
+    out = np.zeros((rows, MAP), U64)
+    bit = flat.mix(shingle ^ _salt(50)) % U64(64 * MAP)
+    np.bitwise_or.at(out, (row, (bit // U64(64)).astype(np.int64)), U64(1) << bit % U64(64))
+    return out
 
 
-def _unlike(a: str, b: str) -> Column:
-    """Coordinates in whose four bits two documents differ."""
-    out = F.lit(0)
-    for k in range(COORDS // 16):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-        out = out + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    return out
+def _linkable(a: str, b: str, na: str, nb: str) -> Column:
+    """False only for pairs whose sets, by their maps and sizes, cannot share enough for a link."""
+    only_a, only_b = F.lit(0), F.lit(0)
+    for k in range(MAP):
+        x, y = F.col(a)[k], F.col(b)[k]
+        only_a = only_a + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+        only_b = only_b + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
+    shared = F.least(F.col(na) - only_a, F.col(nb) - only_b)
+    return shared >= F.lit(THRESHOLD) * (F.col(na) + F.col(nb) - shared)
 
 
 def text_keys(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,16 +146,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, data, offsets in flat.pieces(batch.column(1)):
             _, _, hashes, before = finder.find(data, offsets)
             rows = len(before) - 1
-            row, shingle, weight = weigh(*flat.shingles(hashes, before, WIDTH))
-            signature = dart_minhash(row, shingle, weight, rows)
-            bands, digits = bands_of(signature).view(np.int64), digits_of(signature).view(np.int64)
+            row, shingle = distinct(*flat.shingles(hashes, before, WIDTH))
+            signature = dart_minhash(row, shingle, np.ones(len(row)), rows)
+            bands, maps = bands_of(signature).view(np.int64), maps_of(row, shingle, rows).view(np.int64)
             k1, k2 = text_keys(hashes, before)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, rows), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.diff(before)), pa.array(np.bincount(row, minlength=rows)),
-                    *[pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (bands, digits)],
+                    *[pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (bands, maps)],
                 ],
-                names=["id", "k1", "k2", "n_words", "n", "bands", "digits"],
+                names=["id", "k1", "k2", "n_words", "n", "bands", "map"],
             )
 
 
@@ -161,7 +165,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, data, offsets in flat.pieces(batch.column(1)):
             _, _, hashes, before = finder.find(data, offsets)
             rows = len(before) - 1
-            row, shingle, _ = weigh(*flat.shingles(hashes, before, WIDTH))
+            row, shingle = distinct(*flat.shingles(hashes, before, WIDTH))
             k1, k2 = text_keys(hashes, before)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), pa.array(shingle.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], names=["id", "k1", "k2", "set"])
@@ -192,10 +196,10 @@ def _pairs(df: DataFrame, a: str, b: str, na: str, nb: str) -> DataFrame:
 def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``documents``: ``id``, ``class_id``, ``n_words``, ``n_copies`` (rows with the same words)."""
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = keep(texts.mapInArrow(_sketch, "id long, k1 long, k2 long, n_words long, n long, bands array<bigint>, digits array<bigint>"), "near-sketches")
+    sketches = keep(texts.mapInArrow(_sketch, "id long, k1 long, k2 long, n_words long, n long, bands array<bigint>, map array<bigint>"), "near-sketches")
     worded = sketches.where((F.col("n_words") > 0) & F.col("id").isNotNull())
     # equal texts have equal bands, so the first will do
-    reps = keep(worded.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("digits").alias("digits")), "near-reps")
+    reps = keep(worded.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("map").alias("map")), "near-reps")
 
     rows = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
     buckets = rows.groupBy("band", "h").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("m")).where(F.col("m") > 1)
@@ -214,13 +218,13 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         placed = wide.join(label.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         parts = placed.groupBy("band", "h", "comp").agg(F.count("*").alias("size"))
         largest = parts.groupBy("band", "h").agg(F.max(F.struct("size", F.negative("comp").alias("c"))).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-        open_ = keep(placed.join(largest.select("band", "h", F.negative(F.col("top.c")).alias("main")), ["band", "h"]).join(used, ["band", "h", "rep"], "left_anti").join(reps.select("rep", "digits"), "rep").select("band", "h", "rep", "n", "comp", "main", "digits"), "near-open")
+        open_ = keep(placed.join(largest.select("band", "h", F.negative(F.col("top.c")).alias("main")), ["band", "h"]).join(used, ["band", "h", "rep"], "left_anti").join(reps.select("rep", "map"), "rep").select("band", "h", "rep", "n", "comp", "main", "map"), "near-open")
         order = F.row_number().over(W.partitionBy("band", "h").orderBy("rep"))
-        leaders = keep(open_.where(F.col("comp") != F.col("main")).withColumn("k", order).where(F.col("k") <= at_once).select("band", "h", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"), F.col("digits").alias("leader_digits")), "near-leaders")
+        leaders = keep(open_.where(F.col("comp") != F.col("main")).withColumn("k", order).where(F.col("k") <= at_once).select("band", "h", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"), F.col("map").alias("leader_map")), "near-leaders")
         if leaders.isEmpty():
             break
         full = not leaders.groupBy("band", "h").count().where(F.col("count") >= at_once).isEmpty()
-        likely = _unlike("digits", "leader_digits") <= UNLIKE
+        likely = _linkable("map", "leader_map", "n", "leader_n")
         more = _pairs(open_.join(leaders, ["band", "h"]).where((F.col("comp") != F.col("leader_comp")) & likely), "leader", "rep", "leader_n", "n")
         more = keep(more.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         new = keep(_verify(more, texts, reps), "near-links")

@@ -209,6 +209,37 @@ def test_near_duplicates(ready, docs, none):
     assert op5_near_duplicates.classes(none).count() == 0 and op5_near_duplicates.deduplicate(none).count() == 0
 
 
+def test_near_duplicates_whatever_the_occurrences(ready):
+    made, links = [], []
+    for n in range(12):
+        some = lambda tag, k: [f"{tag}{n}w{j}" for j in range(k)]  # noqa: E731, B023
+        shared = some("s", 150)
+        made += [(100 * n, " ".join(shared)), (100 * n + 1, " ".join(shared + some("j", 20) * 800))]
+        links.append((100 * n, 100 * n + 1))
+        # the smallest id of the bucket is no link of the others, so that these meet in the later comparisons
+        made += [(100 * n + 50, " ".join(some("t", 105))), (100 * n + 51, " ".join(some("t", 150))), (100 * n + 52, " ".join(some("t", 150) + some("u", 12) * 400))]
+        links.append((100 * n + 51, 100 * n + 52))
+    got = {r.id: r.class_id for r in op5_near_duplicates.classes(ready.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = brute_classes(made)
+    assert all(want[b] == a for a, b in links) and got == want
+
+
+def test_near_duplicate_maps_drop_no_link(ready):
+    rng = np.random.default_rng(6)
+    pairs = []
+    for n in (1, 5, 40, 300, 3000):
+        for _ in range(40):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            y = x.copy()
+            y[: rng.integers(0, n // 4 + 1)] ^= np.uint64(1)
+            y = y[: max(1, n - rng.integers(0, n // 5 + 1))]
+            maps = op5_near_duplicates.maps_of(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2).view(np.int64)
+            both = len(np.intersect1d(x, y))
+            pairs.append((both >= 0.8 * (len(x) + len(y) - both), len(x), len(y), maps[0].tolist(), maps[1].tolist()))
+    df = ready.createDataFrame(pairs, "link boolean, nx long, ny long, x array<bigint>, y array<bigint>").withColumn("may", op5_near_duplicates._linkable("x", "y", "nx", "ny"))
+    assert df.where("link").count() > 20 and df.where("link and not may").count() == 0 and df.where("not may").count() > 20
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     shingle = rng.integers(0, 2**63, 400).astype(np.uint64)
