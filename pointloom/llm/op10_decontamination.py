@@ -68,13 +68,14 @@ def _in(what: str, among: set[int]) -> str:
 
 def _hits(block: dict[int, list[tuple[int, int, str]]]) -> Column:
     """Array of (pos, len, gram) of the windows of ``__w`` that are in the block: first the pair of first and last word is looked up,
-    then the hash of all words, then the words themselves, so that a hit is verified (words hold neither quotes nor backslashes)."""
+    then the hash of all words, then the words themselves, so that a hit is verified (words hold neither quotes nor backslashes, and
+    stand in the literals as they are: escapes as Python writes them, such as those of U+00A0 and U+00AD, are not Spark's)."""
     parts = []
     for n, rows in sorted(block.items()):
         test = " AND ".join([
             _in(f"xxhash64(__w[i], __w[i + {n - 1}])", {x[1] for x in rows}),
             _in(f"xxhash64(slice(__w, i + 1, {n}))", {x[0] for x in rows}),
-            f"array_join(slice(__w, i + 1, {n}), ' ') IN ({', '.join(repr(x[2]) for x in rows)})",
+            f"array_join(slice(__w, i + 1, {n}), ' ') IN ({', '.join(f"'{x[2]}'" for x in rows)})",
         ])
         parts.append(F.expr(f"""
             transform(filter(if(size(__w) >= {n}, sequence(0, size(__w) - {n}), cast(array() as array<int>)), i -> {test}),

@@ -390,6 +390,17 @@ def test_decontamination(ready, docs, none):
     assert op10_decontamination.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0 and op10_decontamination.clean(df, bench.limit(0)).count() == len(made)
 
 
+def test_decontamination_of_unprintable_words(ready):
+    marks = ["\u00a0", "\u00ad", "\u0080", "\u0085", "\u009f", "\u2028", "\u200b", "\U000e0001"]
+    items = [(k, f"one{k} two three{m}four five six seven eight nine ten eleven twelve") for k, m in enumerate(marks)] + [(50, "\u00a0"), (51, "plain words only")]
+    made = [(100 + k, f"Before it {t.upper()} after") for k, t in items] + [(200, "one0 two threexa0four five six seven eight nine ten eleven twelve"), (201, None)]
+    df = ready.createDataFrame(made, "doc_id long, text string")
+    bench = ready.createDataFrame(items, "item_id long, text string")
+    got = op10_decontamination.contamination(df, bench).collect()
+    assert sorted((r["__id"], r.n_words, r.n_hit, list(r["items"])) for r in got) == sorted((i, *brute_hits(t, items)) for i, t in made)
+    assert sorted(r.doc_id for r in op10_decontamination.clean(df, bench).collect()) == [200, 201]
+
+
 def test_pipeline(ready):
     import corpus_pipeline as p
 
