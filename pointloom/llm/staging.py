@@ -9,9 +9,9 @@ import uuid
 
 from pyarrow import fs
 
-from pointloom.shared import drop, folder, keep, root
+from pointloom.shared import drop, folder, keep, root, shelf
 
-__all__ = ["commit_file", "drop", "folder", "keep", "open_fs", "read_file", "root"]
+__all__ = ["commit_file", "drop", "folder", "keep", "open_fs", "read_file", "root", "shelf"]
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:

@@ -236,7 +236,9 @@ def test_near_duplicate_maps_drop_no_link(ready):
             maps = op5_near_duplicates.maps_of(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2).view(np.int64)
             both = len(np.intersect1d(x, y))
             pairs.append((both >= 0.8 * (len(x) + len(y) - both), len(x), len(y), maps[0].tolist(), maps[1].tolist()))
-    df = ready.createDataFrame(pairs, "link boolean, nx long, ny long, x array<bigint>, y array<bigint>").withColumn("may", op5_near_duplicates._linkable("x", "y", "nx", "ny"))
+    df = ready.createDataFrame(pairs, "link boolean, nx long, ny long, x array<bigint>, y array<bigint>").select("link", "nx", "ny", *op5_near_duplicates._mapped("x", "nx"), "y")
+    df = df.select("*", F.struct(*op5_near_duplicates._mapped("y", "ny")).alias("other")).select("*", *[F.col(f"other.{c}").alias(f"o_{c}") for c in [*op5_near_duplicates._words(), "slack"]])
+    df = df.withColumn("may", op5_near_duplicates._may_be(op5_near_duplicates._most_shared("o_"), F.col("nx"), F.col("ny")))
     assert df.where("link").count() > 20 and df.where("link and not may").count() == 0 and df.where("not may").count() > 20
 
 
