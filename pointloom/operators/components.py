@@ -7,7 +7,7 @@ the lineage is one round long and a lost executor costs a task, not the run. Tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +49,10 @@ def _are_stars(edges: DataFrame) -> bool:
     return upper.where(F.col("n") > 1).isEmpty() and edges.join(upper.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
-    """``node``, ``comp`` for every node of an edge: the smallest node of its component. Loops count as nodes; nulls are left out."""
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK, put: Callable[[DataFrame, str], DataFrame] = keep) -> DataFrame:
+    """``node``, ``comp`` for every node of an edge: the smallest node of its component. Loops count as nodes; nulls are left out. ``put`` keeps the rounds' tables."""
     given = edges.select(F.col(a).cast("long").alias("p"), F.col(b).cast("long").alias("q")).where(F.col("p").isNotNull() & F.col("q").isNotNull())
-    work = keep(given.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct(), "edges")
+    work = put(given.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct(), "edges")
     if work.count() <= one_task:
         return work.coalesce(1).mapInArrow(_in_one_task, "node long, comp long")
     loops = work.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"))
@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task:
         large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        work = keep(small, "edges")
+        work = put(small, "edges")
     found = work.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     roots = found.select(F.col("comp").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     known = found.unionByName(roots)

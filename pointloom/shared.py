@@ -1,13 +1,15 @@
 """Tables kept between jobs, in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-(tests in local mode) a temporary folder of this machine is used.
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and
+Spark runs in local mode (tests) a temporary folder of this machine is used.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,8 @@ def root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="pointloom-")
     return _own["dir"]
@@ -29,12 +33,30 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _write(df: DataFrame, at: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files, not from the plan before."""
-    spark = df.sparkSession
-    at = folder(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return _write(df, folder(df.sparkSession, name))
+
+
+@contextmanager
+def shelf(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a ``keep`` whose tables are deleted at the end. What is to outlive that is kept by ``keep`` itself, before."""
+    made: list[str] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        made.append(folder(spark, name))
+        return _write(df, made[-1])
+
+    try:
+        yield put
+    finally:
+        for at in made:
+            drop(spark, at)
 
 
 def drop(spark: SparkSession, at: str) -> None:
