@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the hashed 1-, 2- and 3-grams of lower-cased characters (runs of other characters
-than letters count as one space) of a sample of labelled documents, bounded by ``fit_per_lang`` documents of each
-language and drawn by the hash of the id. The smoothed log-probability matrix (languages x
+than letters count as one space) of a sample of labelled documents, at most ``fit_per_lang`` of each
+language, drawn by a hash of the row. The smoothed log-probability matrix (languages x
 ``buckets``, at most ``MAX_LANGS`` x 2^15 32-bit numbers) is broadcast; whole texts are scored in batches as
 sparse rows: the matrix rows of a text's n-grams are gathered and summed.
 
@@ -30,6 +30,8 @@ from pointloom.llm import flat
 
 BUCKETS, ORDERS, MAX_LANGS, UNKNOWN = 1 << 15, (1, 2, 3), 1000, "und"
 FIT_PER_LANG = 5000
+#: Matrix entries gathered at once.
+GATHERED = 1 << 21
 
 
 @lru_cache
@@ -42,12 +44,15 @@ def _letters() -> np.ndarray:
     return table
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, row starts) of each order's n-grams of all rows; the starts have the total at the end."""
+def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-case letter or space, row) of each character of all rows."""
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(leads[offsets]))
-    low = _letters()[codes]
+    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+    return _letters()[codes], np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(leads[offsets]))
+
+
+def _grams(low: np.ndarray, row: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, row) of each n-gram, for each order; runs of spaces count as one."""
     space = low == 32
     stay = np.ones(len(low), bool)
     stay[1:] = ~(space[1:] & space[:-1] & (row[1:] == row[:-1]))
@@ -56,15 +61,11 @@ def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Iterator[tupl
     with np.errstate(over="ignore"):
         code = np.zeros(len(low), np.uint64)
         for n in range(1, max(ORDERS) + 1):
-            m = len(low) - n + 1
-            if m <= 0:
-                yield np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-                continue
-            code = code[:m] * np.uint64(0x9E3779B97F4A7C15) + low[n - 1 :] + np.uint64(1)
+            m = max(0, len(low) - n + 1)
+            code = code[:m] * np.uint64(0x9E3779B97F4A7C15) + low[n - 1 :][:m] + np.uint64(1)
             if n in ORDERS:
-                same = row[:m] == row[n - 1 :]
-                own = row[:m][same]
-                yield ((code[same] ^ (code[same] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40) & mark).astype(np.int64), np.searchsorted(own, np.arange(len(offsets)))
+                same = row[:m] == row[n - 1 :][:m]
+                yield ((code[same] ^ (code[same] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40) & mark).astype(np.int64), row[:m][same]
 
 
 @dataclass(frozen=True)
@@ -74,8 +75,22 @@ class Model:
     prior: np.ndarray
 
 
+def _drawn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sizes: dict[str, int], fit_per_lang: int) -> DataFrame:
+    """At most ``fit_per_lang`` rows of each language (``lang``, ``text``): those whose hash of the id and the row's place is least, so null and repeated ids are drawn like others."""
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 53))
+    # the place is numbered before any filter
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    wanted = {k: min(1 << 53, int((1 << 53) * (1.5 * fit_per_lang + 50) / n)) for k, n in sizes.items()}
+    limit = F.create_map(*[F.lit(x) for k, v in wanted.items() for x in (k, v)])
+    some = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("draw") < limit[F.col("lang")]))
+    # what is collected is a number for each language, out of a sample of a bounded size
+    at = some.groupBy("lang").agg(F.try_element_at(F.array_sort(F.collect_list("draw")), F.lit(fit_per_lang)).alias("draw")).collect()
+    last = F.create_map(*[F.lit(x) for r in at for x in (r["lang"], (1 << 53) if r["draw"] is None else r["draw"])])
+    return some.where(F.col("draw") <= last[F.col("lang")]).select("lang", "text")
+
+
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_per_lang: int = FIT_PER_LANG, buckets: int = BUCKETS, smooth: float = 0.5) -> Model:
-    """Learn from at most about ``fit_per_lang`` documents of each language (all, where there are fewer), drawn by the hash of their ids."""
+    """Learn from at most ``fit_per_lang`` documents of each language (all, where there are fewer); the prior counts them all."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
@@ -83,17 +98,15 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     langs = tuple(sorted(sizes))
     if not langs:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, fit_per_lang / sizes[k]))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = _drawn(labelled, id_col, text_col, lang_col, sizes, fit_per_lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             which = np.array([langs.index(x) for x in batch.column(0).to_pylist()], np.int64)
             for first, data, offsets in flat.pieces(batch.column(1)):
-                for grams, starts in _grams(data, offsets, buckets):
-                    own = np.repeat(which[first : first + len(starts) - 1], np.diff(starts))
+                for grams, row in _grams(*_codes(data, offsets), buckets):
+                    own = which[first + row]
                     for k in np.unique(own):
                         total.setdefault(int(k), np.zeros(buckets, np.int64))
                         total[int(k)] += np.bincount(grams[own == k], minlength=buckets)
@@ -118,16 +131,18 @@ def predict(documents: DataFrame, model: Model, *, text_col: str = "text", carry
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], object)
+        at_once = max(1, GATHERED // max(1, len(m.langs)))
         for batch in batches:
-            n = batch.num_rows
-            text = batch.column(n_carry := batch.num_columns - 1)
-            sums = np.zeros((n, len(m.langs)))
-            for first, data, offsets in flat.pieces(text):
-                for grams, starts in _grams(data, offsets, len(m.table)):
-                    filled = np.flatnonzero(np.diff(starts))
-                    if len(filled) and len(m.langs):
-                        sums[first + filled] += np.add.reduceat(m.table[grams], starts[:-1][filled], axis=0, dtype=np.float64)
-            letters = np.array([any(map(str.isalpha, x)) for x in text.to_pylist()], bool)
+            n, n_carry = batch.num_rows, batch.num_columns - 1
+            sums, letters = np.zeros((n, len(m.langs))), np.zeros(n, bool)
+            for first, data, offsets in flat.pieces(batch.column(n_carry)):
+                low, row = _codes(data, offsets)
+                letters[first + row[low != 32]] = True
+                for grams, row in _grams(low, row, len(m.table)) if m.langs else ():
+                    for i in range(0, len(grams), at_once):
+                        own = row[i : i + at_once]
+                        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                        sums[first + own[cuts]] += np.add.reduceat(m.table[grams[i : i + at_once]], cuts, axis=0, dtype=np.float64)
             known = letters if m.langs else np.zeros(n, bool)
             best, value = np.full(n, len(m.langs)), np.zeros(n)
             if known.any():
