@@ -6,6 +6,7 @@ and to count the tokens of the one that begins before it. What is scanned per fi
 
 Defined results:
 - the separator counts for no document; two separators in a row are an empty document; a document may span any number of blocks;
+- files are told apart by their whole paths, whatever their names;
 - ids after the last separator are a document that is not ``ended``; an empty file has no documents; a last id that is cut short is an error;
 - in the query, null and empty texts are documents without tokens, separators' strings in a text are ordinary text, and repeated
   rows and ids are documents of their own; an empty table makes no files and an empty result.
@@ -68,7 +69,7 @@ def write_flat(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_co
 
 
 def scan(spark: SparkSession, path: str, *, separator: int, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """``file`` (its name), ``ordinal``, ``start``, ``n_tokens``, ``ended`` for each document in the files of a folder or pattern."""
+    """``path``, ``file`` (its last part), ``ordinal``, ``start``, ``n_tokens``, ``ended`` for each document in the files of a folder or pattern."""
     names = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType())])
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path).select("path", "length")
     last = F.floor((F.col("length") - 1) / F.lit(block * width)).cast("int")
@@ -88,16 +89,23 @@ def scan(spark: SparkSession, path: str, *, separator: int, width: int = 2, bloc
                     ends, ended = np.append(ends, total), False
                 starts = np.append(-1, ends[:-1] + 1) if len(ends) else ends  # the first one's is known after the prefix scan
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uri.rpartition("/")[2]]), pa.array([k], pa.int32()), pa.array([len(ends)], pa.int64()), pa.array([int(ends[-1]) if len(ends) else None], pa.int64()), pa.array([ended]), pa.array([starts], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64()))],
-                    names=["file", "block", "n", "last", "ended", "starts", "ends"],
+                    [pa.array([uri]), pa.array([k], pa.int32()), pa.array([len(ends)], pa.int64()), pa.array([int(ends[-1]) if len(ends) else None], pa.int64()), pa.array([ended]), pa.array([starts], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64()))],
+                    names=["path", "block", "n", "last", "ended", "starts", "ends"],
                 )
 
-    blocks = staging.keep(cuts.repartition("path", "block").mapInArrow(work, "file string, block int, n long, last long, ended boolean, starts array<bigint>, ends array<bigint>"), "flat-blocks")
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("since"))
-    each = blocks.join(carried, ["file", "block"]).select("file", "first", "since", "n", "ended", F.posexplode(F.arrays_zip("starts", "ends")).alias("k", "of"))
+    blocks = staging.keep(cuts.repartition("path", "block").mapInArrow(work, "path string, block int, n long, last long, ended boolean, starts array<bigint>, ends array<bigint>"), "flat-blocks")
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("since"))
+    each = blocks.join(carried, ["path", "block"]).select("path", "first", "since", "n", "ended", F.posexplode(F.arrays_zip("starts", "ends")).alias("k", "of"))
     start = F.when(F.col("k") == 0, F.col("since") + 1).otherwise(F.col("of.starts"))
-    return each.select("file", (F.col("first") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("of.ends") - start).alias("n_tokens"), (F.col("ended") | (F.col("k") < F.col("n") - 1)).alias("ended"))
+    return each.select(
+        "path",
+        F.substring_index("path", "/", -1).alias("file"),
+        (F.col("first") + F.col("k")).alias("ordinal"),
+        start.alias("start"),
+        (F.col("of.ends") - start).alias("n_tokens"),
+        (F.col("ended") | (F.col("k") < F.col("n") - 1)).alias("ended"),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
