@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,13 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+def tidy() -> None:
+    """At the end of a task: give back the memory that this process no longer uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Hashes as numbers in (0, 1)."""
     return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53

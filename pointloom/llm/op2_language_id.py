@@ -150,6 +150,7 @@ def predict(documents: DataFrame, model: Model, *, text_col: str = "text", carry
                 best[known] = sums.argmax(1)
                 value[known] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_carry], pa.array(names[best], pa.string()), pa.array(value)], names=[*batch.schema.names[:n_carry], "lang_pred", "score"])
+        flat.tidy()
 
     return given.mapInArrow(score, schema)
 

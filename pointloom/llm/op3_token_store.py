@@ -36,14 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import ranges, staging
+from pointloom.llm import flat, ranges, staging
 
 MAGIC, END = b"PLTOKS1\n", 1
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 2000, 64 << 10
 #: Text bytes of a range (a task), and id bytes after which a shard is rolled.
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
-#: Words that a process remembers: about 60 MB.
-CACHE_WORDS = 300_000
+#: Words that a process remembers, and the bytes of the longest that it does: at most about 40 MB.
+CACHE_WORDS, CACHE_WORD_BYTES = 160_000, 64
 MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long"
 
 
@@ -114,6 +114,10 @@ class Encoder:
         for word, stem in stems.items():
             known[word] = known[stem] + known[word[-1:]]
 
+    def forget_long(self) -> None:
+        """Words beyond ``CACHE_WORD_BYTES``, of which there may be any, are not kept from task to task."""
+        self.known, self.old = ({w: x for w, x in words.items() if len(w) <= CACHE_WORD_BYTES} for words in (self.known, self.old))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each begins (with the total at the end). Distinct words are found by Arrow, the ids are put together by numpy."""
         # copied first: Arrow's kernels misread a slice that was cast
@@ -132,9 +136,9 @@ class Encoder:
         which = coded.indices.to_numpy()
         sizes = size[which]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = ids[np.repeat((begin[which] - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]  # a portion has far fewer than 2^31 ids
+        joined = ids[np.repeat((begin[which] - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]  # a portion has far fewer than 2^31 ids
         offsets = lists.offsets.to_numpy()
-        return flat, ends[offsets - offsets[0]]
+        return joined, ends[offsets - offsets[0]]
 
 
 _encoders: dict[tuple[str, int, bool], Encoder] = {}
@@ -271,6 +275,8 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
                     held.append((doc, len(code) // width + 1, writer.compress(code + end)))
                     size += len(code) + width
         close()
+        encoder.forget_long()
+        flat.tidy()
         columns = list(zip(*made, strict=True)) if made else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["path", "shard_range", "roll", "documents", "ids", "bytes"])
 

@@ -189,6 +189,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["id", "k1", "k2", "n_words", "n", "bands", "map", "set"],
             )
+    flat.tidy()
 
 
 SKETCH = "id long, k1 long, k2 long, n_words long, n long, bands array<bigint>, map array<bigint>, set array<bigint>"
