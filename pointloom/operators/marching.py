@@ -7,8 +7,9 @@ known by the sum of the two ends of its edge (twice its rounded position), packe
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations, permutations
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,6 @@ from pointloom.functions import bits
 
 #: The six tetrahedra of a cell, all around the diagonal from corner 0 to corner 7. Fixed values.
 TETRAHEDRA = ((0, 7, 1, 3), (0, 7, 3, 2), (0, 7, 2, 6), (0, 7, 6, 4), (0, 7, 4, 5), (0, 7, 5, 1))
-#: Edges of a tetrahedron cut off by its first corner, and by its first two. Fixed values.
-ONE = (((0, 1), (0, 3), (0, 2)),)
-TWO = (((0, 2), (1, 2), (1, 3)), ((1, 3), (0, 3), (0, 2)))
 MAX_VERTICES = (1 << 20) - 1
 
 
@@ -27,23 +25,28 @@ def edges() -> list[tuple[int, int]]:
     return sorted({tuple(sorted(e)) for t in TETRAHEDRA for e in combinations(t, 2)}, key=lambda e: (e[1], e[0]))
 
 
-def parity(order: tuple[int, ...]) -> int:
-    """0 for an even permutation."""
-    return sum(a > b for a, b in combinations(order, 2)) & 1
+def _middle(edge: tuple[int, int]) -> np.ndarray:
+    """The middle of an edge of the cell, doubled."""
+    return sum(np.array([c & 1, c >> 1 & 1, c >> 2 & 1]) for c in edge)
+
+
+def _facing(triangle: list[tuple[int, int]], towards: np.ndarray) -> list[tuple[int, int]]:
+    """The triangle of edge middles, turned so that its normal points the given way."""
+    p, q, r = map(_middle, triangle)
+    return triangle if np.linalg.det([q - p, r - p, towards]) > 0 else triangle[::-1]
 
 
 def tetrahedron_triangles(corners: tuple[int, ...], outside: tuple[bool, ...]) -> list[list[tuple[int, int]]]:
-    """Triangles of cube edges that divide the outside corners of one tetrahedron from the others."""
-    flip = sum(outside) > 2
-    flags = tuple(o != flip for o in outside)
-    for order in permutations(range(4)):
-        if parity(order) != int(flip):
-            continue
-        mask = sum(1 << k for k, v in enumerate(order) if flags[v])
-        if mask in (0, 1, 3):
-            cut = {0: (), 1: ONE, 3: TWO}[mask]
-            return [[tuple(sorted((corners[order[a]], corners[order[b]]))) for a, b in triangle] for triangle in cut]
-    raise AssertionError("no permutation fits")
+    """Triangles of cube edges that divide the outside corners of one tetrahedron from the others, facing outwards.
+
+    The surface crosses every edge between an outside and an inside corner: three around a corner that is alone, or
+    four, where two corners face two; these are a ring, halved along one of its diagonals."""
+    out, within = [c for c, o in zip(corners, outside, strict=True) if o], [c for c, o in zip(corners, outside, strict=True) if not o]
+    if not out or not within:
+        return []
+    ring = [tuple(sorted((i, o))) for k, i in enumerate(within) for o in (out if k % 2 == 0 else out[::-1])]
+    towards = len(within) * sum(_middle((o,)) for o in out) - len(out) * sum(_middle((i,)) for i in within)
+    return [_facing([ring[0], ring[k], ring[k + 1]], towards) for k in range(1, len(ring) - 1)]
 
 
 @lru_cache

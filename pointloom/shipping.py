@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows handed to a Python worker at once end at so many bytes, unless the session says otherwise.
+BATCH_BYTES, _BATCH = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Once for each application, hand a zip of this package to the executors."""
+    """Once for each application, hand a zip of this package to the executors; bound the batches of Python workers."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

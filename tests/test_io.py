@@ -17,37 +17,69 @@ def put(path, header, payload=b""):
     return str(path)
 
 
-@pytest.mark.parametrize("header", [
-    "", "ply no not really", "ply\nformat binary_little_endiannotreally 1.0\nelement vertex 1\nend_header\n", "ply\nformat binary_little_endian 1.01\nelement vertex 1\nend_header\n",
-    "ply\nformat\nelement vertex 1\nend_header\n", HEAD + "element vertex -1\nend_header\n", HEAD + "element vertex 123456789012345678901234567890\nend_header\n", HEAD + "element vertex 0xDEADBEEF\nend_header\n",
-    HEAD + "element\nend_header\n", HEAD + "element vertex 0\nproperty int int int x\nend_header\n", HEAD + "element vertex 0\nproperty list int x\nend_header\n", HEAD + "element vertex 0\nproperty list float int x\nend_header\n",
-    HEAD + "element vertex 0\nproperty badtype x\nend_header\n", HEAD + "element vertex 0\nproperty int\nend_header\n", HEAD + "badtoken\nelement vertex 0\nend_header\n", HEAD + "property int x\nend_header\n",
-    HEAD + "element vertex 0\nproperty float32 x\nproperty float32 x\nend_header\n", HEAD + "element vertex 0\nproperty float32 x\n", HEAD + "element vertex 0\nproperty list int8 float32 x\nend_header\n",
-    HEAD + "element vertex 0\nproperty int32 x\nend_header\n", "ply\nformat ascii 1.0\n" + FULL.format(n=0)[len(HEAD):], "ply\n" + FULL.format(n=0)[len(HEAD):], HEAD + "element face 0\nend_header\n", FULL.format(n=5),
-])
-def test_bad_files_are_named(tmp_path, header):
-    uri = put(tmp_path / "bad.ply", header)
-    with pytest.raises(ply.FormatError, match="bad.ply"):
+GOOD = FULL.format(n=0).splitlines()
+
+#: What is done to the lines of a good header, and what is then said of it.
+SPOILED = {
+    "no bytes": (lambda lines: [], "first line"),
+    "other first line": (lambda lines: ["PLY", *lines[1:]], "first line"),
+    "no last line": (lambda lines: lines[:-1], "no last line"),
+    "no format": (lambda lines: [x for x in lines if not x.startswith("format")], "no format"),
+    "format without version": (lambda lines: [lines[0], "format binary_little_endian", *lines[2:]], "a name and a version"),
+    "other format": (lambda lines: [lines[0], "format base64 1.0", *lines[2:]], "cannot read"),
+    "other version": (lambda lines: [lines[0], lines[1].replace("1.0", "2.0"), *lines[2:]], "only version"),
+    "text rows": (lambda lines: [lines[0], "format ascii 1.0", *lines[2:]], "point clouds are read in"),
+    "other byte order": (lambda lines: [lines[0], lines[1].replace("little", "big"), *lines[2:]], "point clouds are read in"),
+    "no element": (lambda lines: [*lines[:2], lines[-1]], "no element"),
+    "element without count": (lambda lines: [*lines[:2], "element vertex", *lines[3:]], "a name and a count"),
+    "count in words": (lambda lines: [*lines[:2], "element vertex five", *lines[3:]], "a number under"),
+    "count below zero": (lambda lines: [*lines[:2], "element vertex -7", *lines[3:]], "a number under"),
+    "count beyond 64 bits": (lambda lines: [*lines[:2], f"element vertex {2**64}", *lines[3:]], "a number under"),
+    "property before its element": (lambda lines: [*lines[:2], lines[3], lines[2], *lines[4:]], "belongs to no element"),
+    "property without name": (lambda lines: [*lines[:-1], "property uchar", lines[-1]], "a property line"),
+    "property with two names": (lambda lines: [*lines[:-1], "property uchar red green", lines[-1]], "a property line"),
+    "property of no type": (lambda lines: [*lines[:-1], "property quaternion q", lines[-1]], "no such scalar type"),
+    "property twice": (lambda lines: [*lines[:-1], "property uchar radius", lines[-1]], "two properties"),
+    "list without element type": (lambda lines: [*lines[:-1], "property list uint8 neighbours", lines[-1]], "a property line"),
+    "list of fractional length": (lambda lines: [*lines[:-1], "property list float32 int32 neighbours", lines[-1]], "whole number"),
+    "list in a vertex": (lambda lines: [*lines[:-1], "property list uint8 int32 neighbours", lines[-1]], "a fixed size"),
+    "line of another kind": (lambda lines: [*lines[:-1], "texture none.png", lines[-1]], "begins with"),
+    "other element first": (lambda lines: [*lines[:2], "element camera 0", *lines[2:]], "begins with its vertex"),
+    "property missing": (lambda lines: [x for x in lines if not x.endswith(" nz")], "lack nz"),
+    "property of another type": (lambda lines: [x.replace("float32 ny", "float64 ny") for x in lines], "32-bit float"),
+    "rows missing": (lambda lines: [x.replace("vertex 0", "vertex 3") for x in lines], "shorter"),
+}
+
+
+@pytest.mark.parametrize("name", SPOILED)
+def test_bad_files_are_named(tmp_path, name):
+    spoil, said = SPOILED[name]
+    assert ply.splat_layout(put(tmp_path / "good.ply", "\n".join(GOOD) + "\n"))
+    uri = put(tmp_path / "bad.ply", "".join(f"{x}\n" for x in spoil(GOOD)))
+    with pytest.raises(ply.FormatError, match=f"bad.ply.*{said}"):
         ply.splat_layout(uri)
 
 
-def test_properties_in_any_order(spark, tmp_path):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_of_any_layout(spark, tmp_path, seed):
     ship(spark)
-    kind = np.dtype([("z", "<f4"), ("y", "<f4"), ("x", "<f4"), ("skip", "<i2"), ("nx", "<f4"), ("ny", "<f4"), ("nz", "<f4"), ("radius", "<f4"), ("tail", "u1")])
-    assert kind.itemsize == 31
-    data = np.zeros(5, kind)
-    for k, p in enumerate(("x", "y", "z", "nx", "ny", "nz", "radius")):
-        data[p] = 100 * np.arange(5) + [1, 0, 2, 3, 4, 5, 6][k]
-    header = HEAD + "element vertex 5\nproperty float32 z\nproperty float32 y\nproperty float x\nproperty int16 skip\nproperty float32 nx\nproperty float32 ny\nproperty float32 nz\nproperty float32 radius\nproperty uint8 tail\nelement face 0\nproperty list uint8 uint32 vertex_indices\nend_header\n"
-    put(tmp_path / "b.ply", header, data.tobytes())
+    rng = np.random.default_rng(seed)
+    names = {"uchar": "u1", "short": "<i2", "double": "<f8", "uint32": "<u4"}
+    fields = [(p, "float", "<f4") for p in ("x", "y", "z", "nx", "ny", "nz", "radius")] + [(f"extra{i}", k, v) for i, (k, v) in enumerate(names.items())]
+    fields = [fields[i] for i in rng.permutation(len(fields))]
+    data = np.zeros(23, np.dtype([(n, v) for n, _, v in fields]))
+    for n, _, _ in fields:
+        data[n] = rng.integers(0, 200, 23)
+    header = HEAD + "comment any order\nelement vertex 23\n" + "".join(f"property {k} {n}\n" for n, k, _ in fields) + "element edge 1\nproperty int a\nend_header\n"
+    put(tmp_path / "b.ply", header, data.tobytes() + b"\0\0\0\0")
     put(tmp_path / "a.ply", FULL.format(n=0))
     put(tmp_path / "note.txt", "")
     ply.register(spark)
-    df = spark.read.format("splat_ply").option("rowspertask", "2").load(str(tmp_path))
-    rows = df.orderBy("file_id", "row").collect()
-    assert [(r.file_id, r.row, r.x, r.y, r.z, r.radius) for r in rows] == [(1, p, 100.0 * p + 1, 100.0 * p, 100.0 * p + 2, 100.0 * p + 6) for p in range(5)]
-    made = splats.project(df, 2.0, 250.0).orderBy("row").select("radius").collect()
-    assert [r.radius for r in made] == [2 * min(250, 100 * p + 6) for p in range(5)]
+    df = spark.read.format("splat_ply").option("rowspertask", "4").load(str(tmp_path))
+    read = ("x", "y", "z", "nx", "ny", "nz", "radius")
+    assert [(r.file_id, r.row, *[r[p] for p in read]) for r in df.orderBy("file_id", "row").collect()] == [(1, i, *[float(data[p][i]) for p in read]) for i in range(23)]
+    made = splats.project(df, 3.0, 50.0).orderBy("row").select("radius").collect()
+    assert [r.radius for r in made] == [3 * min(50.0, float(x)) for x in data["radius"]]
     with pytest.raises(FileNotFoundError):
         ply._paths({"path": str(tmp_path / "none.ply")})
 
