@@ -65,6 +65,10 @@ def test_word_hashes_tell_words_apart():
     assert before.tolist() == np.cumsum([0, *[len(t.split()) for t in texts]]).tolist()
 
 
+def c_of(counts, word):
+    return counts[word]
+
+
 def test_suffix_tree(docs, none):
     held = op1_suffix_tree.held_out()
     model, counts = op1_suffix_tree.train(docs.where(~held))
@@ -84,6 +88,31 @@ def test_suffix_tree(docs, none):
         node = np.repeat(np.arange(len(tree.up)), symbols)
         p = 10 ** tree.score(node, np.tile(np.arange(symbols), len(tree.up)))
         assert np.allclose(p.reshape(-1, symbols).sum(1), 1, atol=1e-3)
+    # each word's probability put together by hand, from the trees' states
+    heads = {int(h): i for i, h in enumerate(model.heads)}
+    for i, text, *_ in given[:40]:
+        stream = op1_suffix_tree.Stream(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))((text or "").encode()), flat.Words(flat.SOLID))
+        line, want, at = bytes([255]) + b"".join(w + b" " for w in words_of(text)), 0.0, 1
+
+        def tree_log(tree, end, symbol, depth):
+            node = 0
+            for k in range(1, min(depth, end) + 1):
+                node, last = int(tree.child[node, tree.column[line[end - k]]]), node  # noqa: B023
+                if not node:
+                    node = last
+                    break
+            return float(tree.score(np.array([node]), np.array([symbol]))[0])
+
+        for w, h in zip(words_of(text), stream.hashes.view(np.int64).tolist(), strict=True):
+            known = heads.get(h)
+            want += tree_log(model.next, at, len(heads) if known is None else known, op1_suffix_tree.NEXT_DEPTH)
+            if known is None:
+                spelled = sum(tree_log(model.spell, at + j, c, op1_suffix_tree.SPELL_DEPTH) for j, c in enumerate(w + b" "))
+                share = max(0.0, c_of(c, w) - op1_suffix_tree.DISCOUNT) / model.escaped if c_of(c, w) else 0.0
+                want += math.log10(share + model.new * 10**spelled)
+            at += len(w) + 1
+        want += tree_log(model.next, at, len(heads) + 1, op1_suffix_tree.NEXT_DEPTH)
+        assert got[i, len(words_of(text)) + 1].score == pytest.approx(want, abs=1e-3)
     model, counts = op1_suffix_tree.train(none)
     assert op1_suffix_tree.score(none, model, counts).count() == 0
     r = op1_suffix_tree.score(docs.where("doc_id = 101"), model, counts).first()
