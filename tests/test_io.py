@@ -64,7 +64,7 @@ def test_bad_files_are_named(tmp_path, name):
 def test_rows_of_any_layout(spark, tmp_path, seed):
     ship(spark)
     rng = np.random.default_rng(seed)
-    names = {"uchar": "u1", "short": "<i2", "double": "<f8", "uint32": "<u4"}
+    names = {"uint8": "u1", "int16": "<i2", "float64": "<f8", "uint32": "<u4"}
     fields = [(p, "float", "<f4") for p in ("x", "y", "z", "nx", "ny", "nz", "radius")] + [(f"extra{i}", k, v) for i, (k, v) in enumerate(names.items())]
     fields = [fields[i] for i in rng.permutation(len(fields))]
     data = np.zeros(23, np.dtype([(n, v) for n, _, v in fields]))
