@@ -7,8 +7,7 @@ compression only, never the ids), and shards ``ids-<range>-<roll>.tok``:
     magic (8 bytes) | header length (4) | JSON header: dictionary hash, documents, ids
     | validity of the document ids (n x 1) | document ids (n x 8) | id counts (n x 8) | frame offsets ((n + 1) x 8) | frames
 
-Ids are little-endian 16-bit integers where the vocabulary allows it (``width`` in the header), else 32-bit. A single short
-document is read by two positional reads. Shards follow the ascending document id; a shard is written
+Ids are little-endian 16-bit integers where the vocabulary allows it (``width`` in the header), else 32-bit. Shards follow the ascending document id; a shard is written
 under a temporary name and renamed, so a lost executor's tasks are repeated without harm, and a manifest lists what is whole.
 
 Defined results:
