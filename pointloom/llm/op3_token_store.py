@@ -1,7 +1,7 @@
 """Token ids in binary shards: each document compressed by itself with one shared zstandard dictionary.
 
 A store is a folder: ``dictionary-<hash>.zdict``, trained on the serialized ids of a bounded sample
-(about ``SAMPLE`` documents drawn by the hash of their ids, the first ``SAMPLE_CHARS`` characters of each; this touches the
+(at most twice ``SAMPLE`` documents drawn by a hash, of each ``SAMPLE_CHARS`` characters at a hashed place; this touches the
 compression only, never the ids), and shards ``ids-<range>-<roll>.tok``:
 
     magic (8 bytes) | header length (4) | JSON header: dictionary hash, documents, ids
@@ -232,9 +232,12 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
     width = 2 if max(vocabulary(tokenizer_path) - 1, end_id) < 1 << 16 else 4
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    some = min(1.0, SAMPLE / max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(some * (1 << 30))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    ids, cuts = Encoder(tokenizer_path, width).encode(pa.array(sorted(r[0] for r in drawn.collect())[: 2 * SAMPLE], pa.string()))
+    # pieces at hashed places of hashed documents, so that every part of every text may be drawn
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    begin = F.pmod(F.xxhash64("id", "text", F.lit("begin")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    some = min(1.0, 1.5 * SAMPLE / max(1, rows.count()))
+    drawn = rows.where(draw < int(some * (1 << 30))).select(draw.alias("draw"), F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("draw", "text").limit(2 * SAMPLE)
+    ids, cuts = Encoder(tokenizer_path, width).encode(pa.array([r["text"] for r in drawn.collect()], pa.string()))
     samples = [x for x in (ids[i:j].tobytes() for i, j in pairwise(cuts.tolist())) if x]
     raw = train_dictionary(samples)
     name = hashlib.sha256(raw).hexdigest()
