@@ -8,7 +8,8 @@ compression only, never the ids), and shards ``ids-<range>-<roll>.tok``:
     | validity of the document ids (n x 1) | document ids (n x 8) | id counts (n x 8) | frame offsets ((n + 1) x 8) | frames
 
 Ids are little-endian 16-bit integers where the vocabulary allows it (``width`` in the header), else 32-bit. Shards follow the ascending document id; a shard is written
-under a temporary name and renamed, so a lost executor's tasks are repeated without harm, and a manifest lists what is whole.
+under a temporary name and renamed, so a lost executor's tasks are repeated without harm, and a manifest lists what is whole. ``get`` reads
+a document by its id: the manifest's spans of ids name the shard, then the shard's index and the document's frame are read at their places.
 
 Defined results:
 - null text is empty: only the end id; very long texts are one frame;
@@ -43,7 +44,7 @@ SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 2000, 64 << 10
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
 #: Words that a process remembers, and the bytes of the longest that it does: at most about 40 MB.
 CACHE_WORDS, CACHE_WORD_BYTES = 160_000, 64
-MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long"
+MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long, first_id long, last_id long"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -220,8 +221,11 @@ class Shard:
 
     def ids(self, i: int) -> np.ndarray:
         """The ids of the i-th document, as 32-bit integers."""
+        return self.decode(self.blob[self.base + self.offsets[i] : self.base + self.offsets[i + 1]])
+
+    def decode(self, frame: bytes | memoryview) -> np.ndarray:
+        """The ids in a document's frame."""
         kind = "<u2" if self.header["width"] == 2 else "<u4"
-        frame = self.blob[self.base + self.offsets[i] : self.base + self.offsets[i + 1]]
         return np.frombuffer(self.reader.decompress(frame), kind).astype("<u4")
 
 
@@ -261,7 +265,8 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
                 blob = shard_bytes(held, name, width)
                 path = f"ids-{part:06d}-{roll:04d}.tok"
                 staging.commit_file(f"{at}/{path}", blob)
-                made.append((path, part, roll, len(held), sum(r[1] for r in held), len(blob)))
+                given = [r[0] for r in held if r[0] is not None]
+                made.append((path, part, roll, len(held), sum(r[1] for r in held), len(blob), min(given, default=None), max(given, default=None)))
             size, roll, held = 0, roll + 1, []
 
         for batch in batches:
@@ -279,8 +284,10 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
         close()
         encoder.forget_long()
         flat.tidy()
-        columns = list(zip(*made, strict=True)) if made else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["path", "shard_range", "roll", "documents", "ids", "bytes"])
+        kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
+        columns = list(zip(*made, strict=True)) if made else [[]] * len(kinds)
+        names = ["path", "shard_range", "roll", "documents", "ids", "bytes", "first_id", "last_id"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     dealt = rows.withColumn("part", number).select("part", "id", "text").repartitionById(count, F.col("part"))
     dealt.sortWithinPartitions("part", F.col("id").asc_nulls_first(), "text").mapInArrow(work, MANIFEST).write.parquet(f"{at}/manifest")
@@ -317,6 +324,25 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     return files.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def get(spark: SparkSession, at: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of the rows with this document id, in the store's order, without reading whole shards: the manifest tells which shards
+    can hold it, and of each only the header, the index and the document's own frame are read, at their places."""
+    fits = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)
+    shards = spark.read.schema(MANIFEST).parquet(f"{at}/manifest").where(fits).orderBy("shard_range", "roll").select("path").collect()
+    found = []
+    for shard in shards:
+        files, path = staging.open_fs(f"{at}/{shard.path}")
+        with files.open_input_file(path) as f:
+            start = f.read_at(12, 0)
+            size = struct.unpack_from("<I", start, 8)[0]
+            n = json.loads(f.read_at(size, 12))["documents"]
+            index = Shard(f.read_at(12 + size + 25 * n + 8, 0), lambda name: staging.read_file(f"{at}/dictionary-{name}.zdict"))
+            for i in np.flatnonzero(index.valid & (index.doc_ids == doc_id)).tolist():
+                begin, end = index.offsets[i : i + 2].tolist()
+                found.append(index.decode(f.read_at(end - begin, index.base + begin)))
+    return found
+
+
 def digest(store: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and the CRC-32 of the ids."""
     return store.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -192,6 +192,9 @@ def test_token_store(docs, none, ready):
         ids = np.array([*whole.encode(text.decode(), add_special_tokens=False).ids, 1], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i if known else None, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    for i in (7, 104, 110, 5000):  # one row, a very long text, several rows, none
+        mine = [whole.encode(text.decode(), add_special_tokens=False).ids + [1] for known, j, text in want if known and j == i]
+        assert [ids.tolist() for ids in op3_token_store.get(ready, at, i)] == mine
     at = staging.folder(ready, "test-tokens")
     assert op3_token_store.write(none, at).count() == 0 and op3_token_store.read(ready, at).count() == 0
 
