@@ -13,7 +13,7 @@ a document by its id: the manifest's spans of ids name the shard, then the shard
 
 Defined results:
 - null text is empty: only the end id; very long texts are one frame;
-- rows with equal ids follow each other in the order of their texts, null ids come first;
+- rows with equal ids follow each other in the order of their texts' hashes, null ids come first; an id of very many rows is cut between texts;
 - an empty table makes a store without shards; with too few documents to train on, the dictionary is their raw content;
 - further columns are ignored.
 """
@@ -248,7 +248,7 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
     staging.commit_file(f"{at}/dictionary-{name}.zdict", raw)
     shared = spark.sparkContext.broadcast(raw)
 
-    number, count = ranges.cut(rows, F.col("id"), F.octet_length("text") + 16, range_bytes)
+    dealt, count = ranges.number(rows.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(ranges.TIES))), "id", F.octet_length("text") + 16, range_bytes, "part", F.col("tie"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, width)
@@ -289,16 +289,14 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
         names = ["path", "shard_range", "roll", "documents", "ids", "bytes", "first_id", "last_id"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    dealt = rows.withColumn("part", number).select("part", "id", "text").repartitionById(count, F.col("part"))
-    dealt.sortWithinPartitions("part", F.col("id").asc_nulls_first(), "text").mapInArrow(work, MANIFEST).write.parquet(f"{at}/manifest")
+    ordered = dealt.repartitionById(count, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie", "text")
+    ordered.select("part", "id", "text").mapInArrow(work, MANIFEST).write.parquet(f"{at}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{at}/manifest").orderBy("shard_range", "roll")
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (little-endian 32-bit), from the files."""
-    manifest = spark.read.schema(MANIFEST).parquet(f"{at}/manifest").orderBy("shard_range", "roll").select("path", "ids").collect()  # a row for each shard
-    starts = np.concatenate([[0], np.cumsum([r.ids for r in manifest])]).tolist()
-    listed = [(i, r.path, s) for i, (r, s) in enumerate(zip(manifest, starts, strict=False))]
+    files = ranges.files(spark.read.schema(MANIFEST).parquet(f"{at}/manifest"), "shard_range", "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionaries: dict[str, bytes] = {}
@@ -320,7 +318,6 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    files = spark.createDataFrame(listed, "n int, path string, start long").repartitionById(max(1, len(listed)), F.col("n"))
     return files.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
 
 

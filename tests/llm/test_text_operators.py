@@ -10,9 +10,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from pointloom.llm import flat, op1_suffix_tree, op2_language_id, op3_token_store, op4_mixing, op5_near_duplicates, op6_separator_scan, op7_url_templates, op8_warc, op9_telephony_audio, op10_decontamination, staging
+from pointloom.llm import flat, op1_suffix_tree, op2_language_id, op3_token_store, op4_mixing, op5_near_duplicates, op6_separator_scan, op7_url_templates, op8_warc, op9_telephony_audio, op10_decontamination, ranges, staging
 from pointloom.shipping import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,6 +179,29 @@ def test_encoder_is_the_tokenizer():
         assert [ids[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] == want[7:]
 
 
+@pytest.mark.parametrize("bins", [4, 1 << 14])
+def test_ranges(ready, monkeypatch, bins):
+    monkeypatch.setattr(ranges, "BINS", bins)
+    rng = random.Random(2)
+    ids = [*range(300), *[77] * 200, *[None] * 150, -(2**62), 2**62, *[2**62 - 5 * i for i in range(50)], *[10**9 + i for i in range(40)]]
+    rows_ = [(i, rng.randrange(ranges.TIES), rng.randint(1, 20)) for i in ids]
+    df = ready.createDataFrame(rows_, "key long, tie long, size int").repartition(5)
+    got, count = ranges.number(df, "key", F.col("size"), 100, "part", F.col("tie"))
+    got = sorted(got.collect(), key=lambda r: (r.key is not None, r.key or 0, r.tie))
+    assert sorted((r.key is not None, r.key or 0, r.tie, r["size"]) for r in got) == sorted((k is not None, k or 0, t, s) for k, t, s in rows_)
+    parts = [r.part for r in got]
+    assert parts == sorted(parts) and set(parts) == set(range(count))
+    held = Counter()
+    for r in got:
+        held[r.part] += r["size"]
+    assert max(held.values()) <= 100 and count < 3 * sum(held.values()) / 100
+    again, same = ranges.number(df.repartition(1), "key", F.col("size"), 100, "part", F.col("tie"))
+    assert same == count and sorted(map(str, again.collect())) == sorted(map(str, got))
+    for none in (df.where("key is null"), df.limit(0)):
+        some, n = ranges.number(none, "key", F.col("size"), 10**9, "part", F.col("tie"))
+        assert n == 1 and {r.part for r in some.collect()} <= {0}
+
+
 def test_token_store(docs, none, ready):
     from tokenizers import Tokenizer
 
@@ -186,14 +210,14 @@ def test_token_store(docs, none, ready):
     manifest = op3_token_store.write(docs, at, range_bytes=3000, shard_limit=400)
     assert manifest.count() > 3
     got = sorted(op3_token_store.digest(op3_token_store.read(ready, at)).collect(), key=lambda r: r.start)
-    want = sorted(((r[0] is not None, r[0] or 0, (r[1] or "").encode()) for r in rows()))
+    want = sorted((r[0] is not None, r[0] or 0, xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest() % ranges.TIES, (r[1] or "").encode()) for r in rows())
     start = 0
-    for r, (known, i, text) in zip(got, want, strict=True):
+    for r, (known, i, _, text) in zip(got, want, strict=True):
         ids = np.array([*whole.encode(text.decode(), add_special_tokens=False).ids, 1], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i if known else None, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     for i in (7, 104, 110, 5000):  # one row, a very long text, several rows, none
-        mine = [whole.encode(text.decode(), add_special_tokens=False).ids + [1] for known, j, text in want if known and j == i]
+        mine = [whole.encode(text.decode(), add_special_tokens=False).ids + [1] for known, j, _, text in want if known and j == i]
         assert [ids.tolist() for ids in op3_token_store.get(ready, at, i)] == mine
     at = staging.folder(ready, "test-tokens")
     assert op3_token_store.write(none, at).count() == 0 and op3_token_store.read(ready, at).count() == 0
