@@ -152,7 +152,8 @@ def resample(pcm: np.ndarray) -> np.ndarray:
 
 
 def decode(media: DataFrame, *, media_col: str = "media", pcm_col: str = "pcm16k") -> DataFrame:
-    """``media`` with a column of resampled little-endian 16-bit PCM at 16 kHz: what is stored for training."""
+    """``media`` with a column of resampled little-endian 16-bit PCM at 16 kHz: what is stored for training. A given column of that name is replaced."""
+    media = media.drop(pcm_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +166,12 @@ def decode(media: DataFrame, *, media_col: str = "media", pcm_col: str = "pcm16k
     return media.mapInArrow(work, T.StructType([*media.schema.fields, T.StructField(pcm_col, T.BinaryType())]))
 
 
-def feature(codec: str, pcm: np.ndarray) -> str:
-    """Codec, rate, samples, root mean square and zero crossings of the telephone signal, then the CRC-32 of the resampled PCM."""
+def feature(codec: str, stored: bytes) -> str:
+    """From resampled PCM: codec, rate, and samples, root mean square and zero crossings of the telephone signal in it, then the PCM's CRC-32."""
+    pcm = np.frombuffer(stored, "<i2")[::2]
     level = float(np.sqrt(np.mean(pcm.astype(np.float64) ** 2))) if len(pcm) else 0.0
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{codec}/{2 * RATE}/{len(pcm)}/{level:.3f}/{crossings}/{zlib.crc32(resample(pcm).astype('<i2', copy=False).tobytes()):08x}"
+    return f"{codec}/{2 * RATE}/{len(pcm)}/{level:.3f}/{crossings}/{zlib.crc32(stored):08x}"
 
 
 def payload_of(text: bytes) -> bytes:
@@ -190,20 +192,20 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            part = batch.slice(i, 1024)
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
             media = [x.as_py() for x in part.column(2)]
             found = [unwrap(x) for x in media]
             rows = [
-                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, pcm))
-                for m, (codec, _, p), pcm in zip(media, found, expand(found), strict=True)
+                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, pcm.as_py()))
+                for m, (codec, _, p), pcm in zip(media, found, part.column(3), strict=True)
             ]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """``op9_telephony_audio``: each text as the samples of a WAV file (the codec follows the payload's CRC-32), stored, read back and decoded."""
+    """``op9_telephony_audio``: each text as the samples of a WAV file (the codec follows the payload's CRC-32), stored with its resampled PCM, and both read back."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    stored = staging.keep(documents.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
+    stored = staging.keep(decode(documents.mapInArrow(_store, "doc_id long, n_bytes long, media binary")), "media")
     return stored.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
