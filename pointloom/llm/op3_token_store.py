@@ -248,7 +248,8 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
     staging.commit_file(f"{at}/dictionary-{name}.zdict", raw)
     shared = spark.sparkContext.broadcast(raw)
 
-    dealt, count = ranges.number(rows.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(ranges.TIES))), "id", F.octet_length("text") + 16, range_bytes, "part", F.col("tie"))
+    rows = rows.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(ranges.TIES)))
+    place, count = ranges.places(rows, "id", F.octet_length("text") + 16, range_bytes, F.col("tie"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, width)
@@ -289,7 +290,7 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
         names = ["path", "shard_range", "roll", "documents", "ids", "bytes", "first_id", "last_id"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    ordered = dealt.repartitionById(count, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie", "text")
+    ordered = rows.withColumn("part", place).repartitionById(count, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie", "text")
     ordered.select("part", "id", "text").mapInArrow(work, MANIFEST).write.parquet(f"{at}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{at}/manifest").orderBy("shard_range", "roll")
 

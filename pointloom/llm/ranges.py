@@ -46,12 +46,12 @@ def _parts(low: int, high: int, parts: int) -> list[int]:
     return list(range(low + width, high + 1, width))
 
 
-def number(df: DataFrame, key: str, size: Column, target: int, name: str, tie: Column | None = None) -> tuple[DataFrame, int]:
-    """``df`` with a column ``name``, the range number of each row, and the number of ranges of about ``target`` of ``size``.
-    Ranges follow the ``key`` (long), within a key the ``tie`` (long, not null)."""
+def places(df: DataFrame, key: str, size: Column, target: int, tie: Column | None = None) -> tuple[Column, int]:
+    """The range number of a row of ``df`` (or of a table with the same ``key`` and ``tie``), and the number of ranges of about ``target``
+    of ``size``. Ranges follow the ``key`` (long), within a key the ``tie`` (long, not null)."""
     low, high, total = df.agg(F.min(key), F.max(key), F.sum(size)).first()
     if total is None:
-        return df.withColumn(name, F.lit(0)), 1
+        return F.lit(0), 1
     target = max(target, int(total) // MAX_RANGES)
     tie = F.lit(0).cast("long") if tie is None else tie
     # bounds of the cells of null keys (as key 0), then of the others
@@ -95,7 +95,7 @@ def number(df: DataFrame, key: str, size: Column, target: int, name: str, tie: C
             now, held = now + 1, 0
         held += sizes[c]
         numbers.append(now)
-    return df.withColumn(name, placed(numbers)), now + 1
+    return placed(numbers), now + 1
 
 
 def files(manifest: DataFrame, group: str, amount: str | None = None) -> DataFrame:

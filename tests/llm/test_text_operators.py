@@ -186,7 +186,8 @@ def test_ranges(ready, monkeypatch, bins):
     ids = [*range(300), *[77] * 200, *[None] * 150, -(2**62), 2**62, *[2**62 - 5 * i for i in range(50)], *[10**9 + i for i in range(40)]]
     rows_ = [(i, rng.randrange(ranges.TIES), rng.randint(1, 20)) for i in ids]
     df = ready.createDataFrame(rows_, "key long, tie long, size int").repartition(5)
-    got, count = ranges.number(df, "key", F.col("size"), 100, "part", F.col("tie"))
+    place, count = ranges.places(df, "key", F.col("size"), 100, F.col("tie"))
+    got = df.withColumn("part", place)
     got = sorted(got.collect(), key=lambda r: (r.key is not None, r.key or 0, r.tie))
     assert sorted((r.key is not None, r.key or 0, r.tie, r["size"]) for r in got) == sorted((k is not None, k or 0, t, s) for k, t, s in rows_)
     parts = [r.part for r in got]
@@ -195,11 +196,11 @@ def test_ranges(ready, monkeypatch, bins):
     for r in got:
         held[r.part] += r["size"]
     assert max(held.values()) <= 100 and count < 3 * sum(held.values()) / 100
-    again, same = ranges.number(df.repartition(1), "key", F.col("size"), 100, "part", F.col("tie"))
-    assert same == count and sorted(map(str, again.collect())) == sorted(map(str, got))
-    for none in (df.where("key is null"), df.limit(0)):
-        some, n = ranges.number(none, "key", F.col("size"), 10**9, "part", F.col("tie"))
-        assert n == 1 and {r.part for r in some.collect()} <= {0}
+    place, same = ranges.places(df.repartition(1), "key", F.col("size"), 100, F.col("tie"))
+    assert same == count and sorted(map(str, df.withColumn("part", place).collect())) == sorted(map(str, got))
+    for some in (df.where("key is null"), df.limit(0)):
+        place, n = ranges.places(some, "key", F.col("size"), 10**9, F.col("tie"))
+        assert n == 1 and {r.part for r in some.withColumn("part", place).collect()} <= {0}
 
 
 def test_token_store(docs, none, ready):
@@ -464,6 +465,14 @@ def test_warc(ready):
         first = min(same) if len(payload) >= 100 else page
         want.append((page, "response" if first == page else "revisit", None if first == page else first, len(payload), hashlib.sha256(payload).hexdigest()))
     assert got == sorted(want, key=str)
+    heads = [h for r in ready.read.parquet(f"{at}/manifest").collect() for h, _ in op8_warc.parse(staging.read_file(f"{at}/{r.path}"))]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == len(given) + ready.read.parquet(f"{at}/manifest").count()
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            of = ids[h["WARC-Refers-To"]]
+            assert of["WARC-Type"] == "response" and of["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+            assert (of["WARC-Page-ID"], of["WARC-Target-URI"], of["WARC-Date"]) == tuple(h[f"WARC-Refers-To-{x}"] for x in ("Page-ID", "Target-URI", "Date"))
     again = staging.folder(ready, "test-warc")
     op8_warc.write(df.repartition(1), again, range_bytes=500, file_bytes=300)
     files = [sorted((r.path, r.sha256) for r in ready.read.parquet(f"{x}/manifest").collect()) for x in (at, again)]
@@ -500,6 +509,37 @@ def test_audio(ready):
     assert got[2] is None and got[3] is None and got[5] == b"" and len(got[1]) == 24 and len(got[4]) == 4 * (377 + 13)
 
 
+def test_audio_query(ready, tmp_path):
+    op9 = op9_telephony_audio
+    given = [(1, "abc"), (2, None), (3, ""), (4, "abc"), (4, "abc"), (None, "é" * 96), (5, "x" * 193), (6, "lorem ipsum " * 40000)]
+    given += [(i, f"text {i} " * i) for i in range(10, 40)]
+    df = ready.createDataFrame(given, "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("pcm16k", F.lit(2))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got, codecs = op9.query(ready, str(tmp_path)).collect(), set()
+    assert sorted((r.doc_id or -1) for r in got) == sorted((i or -1) for i, _ in given)
+    of = {i: t or "" for i, t in given}
+    for r in got:
+        raw = of[r.doc_id].encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        codec = r.feature.split("/")[0]
+        codecs.add(codec)
+        media = op9.wrap(codec, payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        signal = op9.expand([(codec, 192 if codec == "adpcm" else 1, payload)])[0].astype(int).tolist()
+        x = [signal[0], *signal, signal[-1], signal[-1]]
+        between = [min(32767, max(-32768, (9 * (x[i] + x[i + 1]) - x[i - 1] - x[i + 2] + 8) >> 4)) for i in range(1, len(signal) + 1)]
+        pcm = np.array([v for pair in zip(signal, between, strict=True) for v in pair], "<i2").tobytes()
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(signal, signal[1:], strict=False))
+        level = math.sqrt(sum(v * v for v in signal) / len(signal))
+        assert r.feature == f"{codec}/16000/{len(signal)}/{level:.3f}/{crossings}/{zlib.crc32(pcm):08x}"
+    assert codecs == set(op9.TAGS)
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op9.query(ready, f"{tmp_path}/none").count() == 0
+    clash = ready.createDataFrame([(1, bytearray(op9.wrap("alaw", b"ab")), 3)], "id long, media binary, pcm16k int")
+    assert [len(r.pcm16k) for r in op9.decode(clash).collect()] == [8]
+
+
 def brute_hits(text, items):
     w = alnum(text)
     hit, found = set(), set()
