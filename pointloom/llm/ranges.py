@@ -56,18 +56,25 @@ def places(df: DataFrame, key: str, size: Column, target: int, tie: Column | Non
     tie = F.lit(0).cast("long") if tie is None else tie
     # bounds of the cells of null keys (as key 0), then of the others
     nulls, others = [(0, LOWEST)], [] if low is None else [(k, LOWEST) for k in [low, *_parts(low, high, BINS)]]
+    step = 1 if low is None else -(-(high - low + 1) // BINS)
+    even = len(others)  # as long as no bin was cut again, a key's bin follows from its distance to the lowest
     sizes: dict[tuple[bool, tuple[int, int]], int | None] = {(False, x): None for x in nulls} | {(True, x): None for x in others}
 
     def placed(values: list[int] | None) -> Column:
         """A row's cell, or what ``values`` has for it."""
-        cell = _search(nulls, F.lit(0).cast("long"), tie)
+        cell = _search(nulls, F.lit(0).cast("long"), tie) if len(nulls) > 1 else F.lit(0)
         if others:
-            cell = F.when(F.col(key).isNull(), cell).otherwise(_search(others, F.col(key), tie) + len(nulls))
+            wide = "decimal(20,0)"  # the distance may be beyond a long
+            away, width = F.col(key).cast(wide) - F.lit(low).cast(wide), F.lit(step).cast(wide)
+            bin_of = ((away - away % width) / width).cast("int")  # exact: a plain quotient of decimals is rounded
+            if len(others) > even:
+                bin_of = _search(others, F.col(key), tie)
+            cell = F.when(F.col(key).isNull(), cell).otherwise(bin_of + len(nulls))
         return cell if values is None else F.get(_array(values, "int"), cell)
 
     while True:
         cells = [(False, x) for x in nulls] + [(True, x) for x in others]
-        new = placed([i if sizes[c] is None else -1 for i, c in enumerate(cells)])
+        new = placed(None if all(x is None for x in sizes.values()) else [i if sizes[c] is None else -1 for i, c in enumerate(cells)])
         rows = df.select(new.alias("cell"), F.coalesce(F.col(key), F.lit(0)).alias("key"), tie.alias("tie"), size.alias("size")).where("cell >= 0")
         found = rows.groupBy("cell").agg(F.sum("size").alias("size"), F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("tie").alias("t0"), F.max("tie").alias("t1")).collect()
         sizes = {c: n or 0 for c, n in sizes.items()}
