@@ -42,8 +42,8 @@ MAGIC, END = b"PLTOKS1\n", 1
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 2000, 64 << 10
 #: Text bytes of a range (a task), and id bytes after which a shard is rolled.
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
-#: Words that a process remembers, and the bytes of the longest that it does: at most about 40 MB.
-CACHE_WORDS, CACHE_WORD_BYTES = 160_000, 64
+#: Words that a process remembers, and the bytes of the longest that it does: about 100 MB.
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long, first_id long, last_id long"
 
 
