@@ -23,11 +23,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
-from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +40,39 @@ MAGIC, END = b"PLTOKS1\n", 1
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 2000, 2000, 64 << 10
 #: Text bytes of a range (a task), and id bytes after which a shard is rolled.
 RANGE_BYTES, SHARD_BYTES = 16 << 20, 64 << 20
-#: Words that a process remembers, and the bytes of the longest that it does: about 100 MB.
-CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
+#: Words that a process remembers, the bytes of the longest that it does, and the ids of all: about 70 MB.
+CACHE_WORDS, CACHE_WORD_BYTES, CACHE_IDS = 300_000, 64, 4 << 20
 MANIFEST = "path string, shard_range int, roll int, documents long, ids long, bytes long, first_id long, last_id long"
 
 
 def _byte_letters() -> dict[int, str]:
-    """For the letters of SIMPLE, the signs that byte-level vocabularies write their UTF-8 bytes with: printable ones as they are, others counted up from 256."""
+    """For the letters of SPLIT, the signs that byte-level vocabularies write their UTF-8 bytes with: printable ones as they are, others counted up from 256."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in printable]
     sign = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
     return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
-SIMPLE = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+#: A word of letters that normalising leaves as they are, and the ASCII signs after it: the two are split before any merge.
+SPLIT = r"^(?P<stem>[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+)(?P<tail>[!-/:-@\[-`{-~]*)\z"
 BYTE_LETTERS = _byte_letters()
-TYPECODE = {"<u2": "H", "<u4": "I"}
+
+
+def _spans(words: pa.Array) -> list[bytes]:
+    """The values of an unsliced large binary array without nulls."""
+    begins, blob = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1].tolist(), (words.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [blob[i:j] for i, j in pairwise(begins)]
+
+
+def _room(held: np.ndarray, need: int) -> np.ndarray:
+    """The array with room for ``need`` elements, at least doubled if it has less."""
+    return held if len(held) >= need else np.concatenate([held, np.zeros(max(need - len(held), len(held)), held.dtype)])
 
 
 class Encoder:
-    """Whole texts to id bytes. Words between ASCII white space are encoded once and remembered: the tokenizer never joins ids across white space."""
+    """Whole texts to id bytes. Words between ASCII white space are encoded once and remembered: the tokenizer never joins ids across white space.
+
+    A known word has a row: its ids are ``size`` elements of ``pool`` from ``begin`` on, and it was met in ``seen`` portions."""
 
     def __init__(self, tokenizer_path: str, width: int, plain: bool = False):
         """``plain``: the special tokens' strings in a text are ordinary text."""
@@ -73,70 +84,98 @@ class Encoder:
         if not self._plain_letters():
             raise ValueError(f"{tokenizer_path}: not a byte-level tokenizer that lower-cases")
         self.kind = "<u2" if width == 2 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}  # what was known before; what is met again is taken over
+        self._reset([b""], np.zeros(0, self.kind), np.zeros(1, np.int64), np.ones(1, np.int32))
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [code.ids for code in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _merged(self, word: str) -> list[int]:
+        """Normalising leaves the letters of ``SPLIT`` as they are and they are one run, so the model's merges are all that is left to do."""
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(BYTE_LETTERS))]
 
     def _plain_letters(self) -> bool:
-        """Whether the short way for simple words gives what the whole tokenizer gives."""
-        words = ["the", "ciónue", "für", "ÿþàçß", "xqzjk"]
-        return all([t.id for t in self.tokenizer.model.tokenize(w.translate(BYTE_LETTERS))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode what is not known yet."""
-        if 2 * len(self.known) > CACHE_WORDS:
-            self.old, self.known = self.known, {}
-        known, old, new = self.known, self.old, set()
-        for w in words:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    new.add(w)
-        # an ASCII letter and the comma or stop after it never share an id: such words follow from what is before
-        stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
-        plain = list((new - stems.keys()).union(stems.values(), {b",", b"."}) - known.keys())
-        rest = []
-        tokenize, kind = self.tokenizer.model.tokenize, self.kind
-        for word in plain:
-            text = word.decode("utf-8", "replace")
-            # normalising leaves these as they are and they are one run of letters, so the model's merges are all that is left to do
-            if SIMPLE(text):
-                known[word] = array(TYPECODE[kind], [t.id for t in tokenize(text if text.isascii() else text.translate(BYTE_LETTERS))]).tobytes()
-            else:
-                rest.append(word)
-        plain = rest
-        for i in range(0, len(plain), 5_000):
-            part = plain[i : i + 5_000]
-            ids = [code.ids for code in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            cuts = np.cumsum([0, *map(len, ids)]) * int(self.kind[-1])
-            blob = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-            known.update(zip(part, [blob[i:j] for i, j in pairwise(cuts.tolist())], strict=True))
-        for word, stem in stems.items():
-            known[word] = known[stem] + known[word[-1:]]
-
-    def forget_long(self) -> None:
-        """Words beyond ``CACHE_WORD_BYTES``, of which there may be any, are not kept from task to task."""
-        self.known, self.old = ({w: x for w, x in words.items() if len(w) <= CACHE_WORD_BYTES} for words in (self.known, self.old))
+        """Whether the short way for words of letters, and signs after them, gives what the whole tokenizer gives."""
+        words, tails = ["the", "ciónue", "für", "ÿþàçß", "xqzjk"], ["", ",", "!!", "...", "'", '")', "<|", "$&"]
+        return all(self._merged(w) + ids == self._whole([w + t])[0] for w in words for t, ids in zip(tails, self._whole(tails), strict=True))
+
+    def _reset(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray, seen: np.ndarray) -> None:
+        self.place: dict[bytes, int] = {}
+        self.rows, self.held, self.long = 0, 0, []
+        self.pool, self.begin, self.size, self.seen = np.zeros(1 << 16, self.kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self._add(words, ids, sizes)
+        self.seen[: len(seen)] = seen
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows for new words, whose ids follow each other."""
+        rows, held = self.rows + len(words), self.held + len(ids)
+        self.pool, self.begin, self.size, self.seen = _room(self.pool, held), _room(self.begin, rows), _room(self.size, rows), _room(self.seen, rows)
+        self.pool[self.held : held], self.size[self.rows : rows], self.seen[self.rows : rows] = ids, sizes, 0
+        self.begin[self.rows : rows] = self.held + np.cumsum(sizes) - sizes
+        self.place.update(zip(words, range(self.rows, rows), strict=True))
+        self.long += [w for w in words if len(w) > CACHE_WORD_BYTES]
+        self.rows, self.held = rows, held
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, one after the other, and where each begins (with the total at the end)."""
+        sizes = self.size[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat((self.begin[rows] - ends[:-1]).astype(np.int32), sizes)  # a portion, and the pool, have far fewer than 2^31 ids
+        at += np.arange(ends[-1], dtype=np.int32)
+        return self.pool[at], ends
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def _learn(self, words: pa.Array) -> None:
+        """Rows for distinct words that have none."""
+        split = pc.extract_regex(words.cast(pa.large_string()), SPLIT)
+        plain = split.is_valid()
+        stems, tails = (split.field(i).filter(plain).cast(pa.large_binary()) for i in range(2))
+        new = [w for w in _spans(stems.unique()) if w not in self.place]
+        for i in range(0, len(new), 5_000):
+            self._add_lists(new[i : i + 5_000], list(map(self._merged, (w.decode() for w in new[i : i + 5_000]))))
+        new = [w for w in chain(_spans(tails.unique()), _spans(words.filter(pc.invert(plain)))) if w not in self.place]
+        for i in range(0, len(new), 5_000):
+            self._add_lists(new[i : i + 5_000], self._whole([w.decode("utf-8", "replace") for w in new[i : i + 5_000]]))
+        both = pc.greater(pc.binary_length(tails), 0)
+        stems, tails = (self._places(_spans(x.filter(both))) for x in (stems, tails))
+        ids, ends = self._gather(np.stack([stems, tails], 1).reshape(-1))
+        self._add(_spans(words.filter(plain).filter(both)), ids, np.diff(ends[::2]))
+
+    def _add_lists(self, words: list[bytes], ids: list[list[int]]) -> None:
+        self._add(words, np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def trim(self) -> None:
+        """Words beyond ``CACHE_WORD_BYTES``, of which there may be any, are forgotten; of too many words those met in most portions stay."""
+        for word in self.long:
+            self.place.pop(word, None)
+        self.long = []
+        if len(self.place) <= CACHE_WORDS and self.held <= CACHE_IDS:
+            return
+        words, rows = list(self.place), np.fromiter(self.place.values(), np.int64, len(self.place))
+        best = np.flatnonzero(self.seen[rows] > 1)
+        best = best[np.argsort(-self.seen[rows[best]], kind="stable")[: CACHE_WORDS // 2]]
+        best = np.append(0, best[best > 0])  # the empty word is the first
+        ids, ends = self._gather(rows[best])
+        self._reset([words[i] for i in best.tolist()], ids, np.diff(ends), self.seen[rows[best]] // 2)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each begins (with the total at the end). Distinct words are found by Arrow, the ids are put together by numpy."""
+        self.trim()
         # copied first: Arrow's kernels misread a slice that was cast
         texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")
         # lower case first makes fewer words; the tokenizer lower-cases too, but finds its special strings before
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().cast(pa.large_binary()).dictionary_encode()
-        begins, blob = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist(), (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-        words = [blob[i:j] for i, j in pairwise(begins)]
-        self._learn(words)
-        codes = [self.known[w] for w in words]
-        width = int(self.kind[-1])
-        size = np.fromiter(map(len, codes), np.int64, len(codes)) // width
-        ids, begin = np.frombuffer(b"".join(codes), self.kind), np.cumsum(size) - size
-        which = coded.indices.to_numpy()
-        sizes = size[which]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        joined = ids[np.repeat((begin[which] - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]  # a portion has far fewer than 2^31 ids
+        words = _spans(coded.dictionary)
+        rows = self._places(words)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            self._learn(coded.dictionary.take(pa.array(new)))
+            rows[new] = self._places([words[i] for i in new.tolist()])
+        self.seen[rows] += 1
+        joined, ends = self._gather(rows[coded.indices.to_numpy()])
         offsets = lists.offsets.to_numpy()
         return joined, ends[offsets - offsets[0]]
 
@@ -152,7 +191,7 @@ def encoder_of(tokenizer_path: str, width: int, plain: bool = False) -> Encoder:
     return _encoders[key]
 
 
-def portions(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of at most about ``limit`` characters of text (or one row)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     i = 0
@@ -283,7 +322,7 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
                     held.append((doc, len(code) // width + 1, writer.compress(code + end)))
                     size += len(code) + width
         close()
-        encoder.forget_long()
+        encoder.trim()
         flat.tidy()
         kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 5]
         columns = list(zip(*made, strict=True)) if made else [[]] * len(kinds)

@@ -179,6 +179,26 @@ def test_encoder_is_the_tokenizer():
         assert [ids[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] == want[7:]
 
 
+def test_encoder_that_forgets(monkeypatch):
+    """Words that a small cache gives up, long words, and signs after words or alone: all texts still get the whole tokenizer's ids."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(op3_token_store, "CACHE_WORDS", 60)
+    monkeypatch.setattr(op3_token_store, "CACHE_IDS", 500)
+    rng = random.Random(3)
+    signs = "abzéß÷ÿ'!?.,<|> 9中É\u0301\x85\t"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(600)] + ["", "x" * 9000 + "!?", "a" * 70 + "..", "don't we'll a'b'"]
+    whole, encoder = Tokenizer.from_file(op3_token_store.default_tokenizer()), op3_token_store.Encoder(op3_token_store.default_tokenizer(), 4)
+    for i in range(0, len(texts), 50):
+        part = texts[i : i + 50]
+        ids, cuts = encoder.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+    encoder.trim()
+    assert len(encoder.place) <= 61 and max(map(len, encoder.place)) <= op3_token_store.CACHE_WORD_BYTES
+
+
 @pytest.mark.parametrize("bins", [4, 1 << 14])
 def test_ranges(ready, monkeypatch, bins):
     monkeypatch.setattr(ranges, "BINS", bins)
