@@ -3,6 +3,8 @@
 G.711 samples are expanded by 256-entry tables. ADPCM (IMA, in WAV blocks of ``BLOCK`` bytes) is decoded
 by numpy across blocks: all blocks of a batch are stepped through together, a nibble at a time.
 ``decode`` gives 16-bit PCM at twice the telephone rate, made by a 4-tap half-band filter.
+``pack`` writes any 16-bit PCM without loss: its even samples, and how far each odd one is from the half-band value of the even ones
+(left out where none is off, as in all PCM that was resampled here). ``unpack`` needs nothing else to give the same bytes back.
 
 Defined results:
 - null media, and media that are no WAV file of these three formats, decode to null PCM;
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from pointloom.llm import staging
 
 RATE, BLOCK = 8000, 192
+#: How the media and their PCM are written.
+PARQUET = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 #: WAVE format tags. Fixed values.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 #: IMA ADPCM step sizes and index changes. Fixed values.
@@ -139,28 +143,54 @@ def _runs(rows: list[int], whole: dict[int, int], width: int, limit: int = 4 <<
         yield run
 
 
+def _between(pcm: np.ndarray) -> np.ndarray:
+    """The half-band value between each sample and the next. The ends are held."""
+    x = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
+    return np.clip(9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8 >> 4, -32768, 32767).astype(np.int16)
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: each sample, then the half-band value between it and the next. The ends are held."""
+    """Twice the rate: each sample, then the half-band value between it and the next."""
     if not len(pcm):
         return pcm
-    x = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
-    between = 9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8 >> 4
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
-    out[1::2] = np.clip(between, -32768, 32767)
+    out[1::2] = _between(pcm)
+    return out
+
+
+def pack(pcm: np.ndarray) -> bytes:
+    """16-bit samples without loss: a byte (1: differences follow, 2: the last even sample has no odd one after it), the even samples, the odd ones' differences from the half-band values."""
+    if not len(pcm):
+        return b""
+    even, odd = pcm[0::2], pcm[1::2]
+    off = odd - _between(even)[: len(odd)]  # modulo 2 ** 16
+    return bytes([bool(off.any()) + 2 * (len(even) - len(odd))]) + even.astype("<i2").tobytes() + (off.astype("<i2").tobytes() if off.any() else b"")
+
+
+def unpack(stored: bytes) -> np.ndarray:
+    """The samples that ``pack`` was given."""
+    if not stored:
+        return np.zeros(0, np.int16)
+    short, values = stored[0] >> 1, np.frombuffer(stored, "<i2", offset=1).astype(np.int16)
+    evens = len(values) + short + 1 >> 1 if stored[0] & 1 else len(values)
+    out = resample(values[:evens])[: 2 * evens - short]
+    if stored[0] & 1:
+        out[1::2] += values[evens:]
     return out
 
 
-def decode(media: DataFrame, *, media_col: str = "media", pcm_col: str = "pcm16k") -> DataFrame:
-    """``media`` with a column of resampled little-endian 16-bit PCM at 16 kHz: what is stored for training. A given column of that name is replaced."""
+def decode(media: DataFrame, *, media_col: str = "media", pcm_col: str = "pcm16k", packed: bool = False) -> DataFrame:
+    """``media`` with a column of resampled little-endian 16-bit PCM at 16 kHz, or that PCM ``packed``: what is stored for training. A given column of that name is replaced."""
     media = media.drop(pcm_col)
+    form = pack if packed else (lambda x: x.astype("<i2").tobytes())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(media_col)
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                pcm = [None if x is None else resample(x).astype("<i2").tobytes() for x in expand([unwrap(x.as_py()) for x in part.column(at)])]
+                pcm = [None if x is None else form(resample(x)) for x in expand([unwrap(x.as_py()) for x in part.column(at)])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary())], names=[*part.schema.names, pcm_col])
 
     return media.mapInArrow(work, T.StructType([*media.schema.fields, T.StructField(pcm_col, T.BinaryType())]))
@@ -197,7 +227,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = [x.as_py() for x in part.column(2)]
             found = [unwrap(x) for x in media]
             rows = [
-                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, pcm.as_py()))
+                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, unpack(pcm.as_py()).astype("<i2").tobytes()))
                 for m, (codec, _, p), pcm in zip(media, found, part.column(3), strict=True)
             ]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -205,7 +235,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """``op9_telephony_audio``: each text as the samples of a WAV file (the codec follows the payload's CRC-32), stored with its resampled PCM, and both read back."""
+    """``op9_telephony_audio``: each text as the samples of a WAV file (the codec follows the payload's CRC-32), stored with its resampled PCM (``packed``), and both read back."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    stored = staging.keep(decode(documents.mapInArrow(_store, "doc_id long, n_bytes long, media binary")), "media")
+    stored = staging.keep(decode(documents.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), packed=True), "media", PARQUET)
     return stored.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

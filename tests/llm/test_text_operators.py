@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -560,6 +561,24 @@ def test_audio_query(ready, tmp_path):
     assert [len(r.pcm16k) for r in op9.decode(clash).collect()] == [8]
 
 
+def test_packed_pcm_is_lossless_and_small(ready):
+    op9 = op9_telephony_audio
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 4, 5, 100, 101):
+        noise = rng.integers(-32768, 32768, n).astype(np.int16)  # PCM that no half-band filter made
+        assert op9.unpack(op9.pack(noise)).tolist() == noise.tolist()
+        made = op9.resample(noise)
+        assert op9.unpack(op9.pack(made)).tolist() == made.tolist() and len(op9.pack(made)) == (1 + 2 * n if n else 0)
+        cut = made[:-1]
+        assert op9.unpack(op9.pack(cut)).tolist() == cut.tolist()
+    # what the query stores on a table of prose stays below the budget of 1.5 times the table
+    folder = Path(staging.root(ready).removeprefix("file:").replace("//", "/"))
+    size = lambda: sum(f.stat().st_size for f in folder.glob("media-*/*.parquet"))
+    before = size()
+    assert op9.query(ready, "/root/testdata/sf0.01").count() == 1000
+    assert size() - before < 1.5 * Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+
+
 def brute_hits(text, items):
     w = alnum(text)
     hit, found = set(), set()
