@@ -13,11 +13,12 @@ and its next-symbol distribution diverges from that of the context one byte shor
 ``gain`` bits a position. Distributions are smoothed towards the shorter context's, the empty one's by adding
 one. Each symbol is scored in the state of the longest retained suffix before it.
 
-Sizes: a tree has at most ``MAX_CONTEXTS`` contexts (the least count is raised until it has) and ``MAX_PAIRS`` pairs of context and
-word that are kept one by one (the others share what is left, in proportion to the shorter context's distribution), and there are at
-most ``MAX_HEADS`` frequent words: some 200 MB on the driver and broadcast at the very most. The words' counts for the unigram
-base are exact and unbounded: those with at least ``OFTEN`` of all tokens (at most 1 / OFTEN words) are broadcast, and the rest, of
-which none is hot, are joined by their 64-bit hashes.
+Sizes: nothing that is frequent enough is left out. A tree of more than ``MAX_CONTEXTS`` contexts, or ``MAX_PAIRS`` pairs of context and
+next symbol, is cut into parts of about that size by the bytes of the contexts, nearest first: a part has every context of the positions
+that fall to it, so these get the probabilities of the whole tree. Parts are grown one after another and stored in the shared folder, and
+scoring has one of them in memory at a time. The frequent words, of which there are at most 50,000 times the root of the tokens by 5e7,
+are broadcast. The words' counts for the unigram base are exact and unbounded: those of frequent words and those of at least ``OFTEN`` of all
+tokens (at most 1 / OFTEN words) are broadcast, and the rest, of which none is hot, are joined by their 64-bit hashes.
 
 Defined results:
 - null and empty texts are the end symbol alone (one token); very long texts are scored whole, in one row;
@@ -28,6 +29,7 @@ Defined results:
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -45,9 +47,12 @@ SPELL_DEPTH, NEXT_DEPTH = 5, 4
 P_MIN, GAIN, SMOOTH = 1e-5, 1e-7, 12.0
 HEAD, PAIR, OFTEN, DISCOUNT = 2e-5, 1e-6, 1e-6, 0.5
 WORD, SPELL, NEXT, TEXTS = 0, 1, 2, 3
+#: A stream, and the positions, rows and symbols that are scored in it.
+Asked = tuple["Stream", np.ndarray, np.ndarray, np.ndarray]
 #: At this many positions, ``p_min``, ``head`` and ``pair`` are shares of them.
 EVEN = 5e7
-MAX_CONTEXTS, MAX_PAIRS, MAX_HEADS = 100_000, 8_000_000, 60_000
+#: Contexts and pairs of a part of a tree (its first context's suffixes come on top), and bytes of text that are scored with each part in turn.
+MAX_CONTEXTS, MAX_PAIRS, BUNCH = 100_000, 2_000_000, 8 << 20
 
 
 def _least(share: float, total: int, least: float) -> float:
@@ -166,8 +171,8 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in df.toArrow().columns]
 
 
-def _frequent(counts: DataFrame, kind: int, depth: int, p_min: float, pair: float) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """(k, ctx, n) of the frequent contexts, (k, ctx, next, n) of their frequent next symbols, in order, and the number of positions."""
+def _frequent(counts: DataFrame, kind: int, depth: int, p_min: float, pair: float) -> tuple[DataFrame, DataFrame, int]:
+    """(k, ctx, n) of all frequent contexts, (k, ctx, next, n) of their frequent next symbols, and the number of positions. ``at``: the place of a context among all, in the order of their bytes, nearest first."""
     own = counts.where(F.col("kind") == kind)
     total = own.agg(F.sum("n")).first()[0] or 0
     low = (1 << (64 - 8 * depth)) - 1
@@ -175,21 +180,64 @@ def _frequent(counts: DataFrame, kind: int, depth: int, p_min: float, pair: floa
     rows = own.select(levels.alias("c"), F.col("key").bitwiseAND(low).alias("next"), "n").select("c.k", "c.ctx", "next", "n")
     rows = rows.where((F.col("k") == 0) | (F.col("ctx").bitwiseAND(255) != NOTHING))
     each = staging.keep(rows.groupBy("k", "ctx", "next").agg(F.sum("n").alias("n")), "suffix-pairs")
-    enough = _least(p_min, total, 2.0)
-    contexts = staging.keep(each.groupBy("k", "ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(enough)), "suffix-frequent")
-    while contexts.where(F.col("n") >= F.lit(enough)).count() > MAX_CONTEXTS:
-        enough *= 1.5
-    contexts = contexts.where(F.col("n") >= F.lit(enough))
-    # at most MAX_CONTEXTS rows are broadcast
-    pairs = staging.keep(each.where(F.col("n") >= F.lit(_least(pair, total, 1.0))).join(F.broadcast(contexts.select("k", "ctx")), ["k", "ctx"], "left_semi"), "suffix-kept")
-    often = 1.0
-    while pairs.where(F.col("n") >= F.lit(often)).count() > MAX_PAIRS:
-        often *= 1.5
-    pairs = pairs.where(F.col("n") >= F.lit(often))
-    return _columns(contexts.select("k", "ctx", "n").orderBy("k", "ctx")), _columns(pairs.select("k", "ctx", "next", "n").orderBy("k", "ctx", "next")), total
-
-
-def _kept(n: dict, rows: dict, total: int, gain: float) -> list[tuple[int, int]]:
+    at = F.expr(f"shiftleft(ctx, 8 * ({depth} - k))").alias("at")
+    contexts = staging.keep(each.groupBy("k", "ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(_least(p_min, total, 2.0))).select("k", "ctx", "n", at), "suffix-frequent")
+    # Spark broadcasts the contexts if they are few enough
+    pairs = each.where(F.col("n") >= F.lit(_least(pair, total, 1.0))).join(contexts.select("k", "ctx"), ["k", "ctx"], "left_semi")
+    return contexts, staging.keep(pairs.select("k", "ctx", "next", "n", at), "suffix-kept"), total
+
+
+def _cuts(contexts: DataFrame, pairs: DataFrame) -> list[int]:
+    """Where the parts begin: runs of places with at most ``MAX_CONTEXTS`` contexts and ``MAX_PAIRS`` pairs, or one place alone (that has a context of each length at most)."""
+    first = [0]
+    if contexts.count() <= MAX_CONTEXTS and pairs.count() <= MAX_PAIRS:
+        return first
+    one, none = F.lit(1).alias("c"), F.lit(0)
+    sizes = contexts.select("at", one, none.alias("p")).union(pairs.select("at", none.alias("c"), F.lit(1).alias("p"))).groupBy("at").agg(F.sum("c"), F.sum("p"))
+    held = wide = 0
+    for at, c, p in sizes.orderBy("at").toLocalIterator():  # a partition at a time
+        if held and (held + c > MAX_CONTEXTS or wide + p > MAX_PAIRS):
+            first.append(at)
+            held = wide = 0
+        held, wide = held + c, wide + p
+    return first
+
+
+def _grown(counts: DataFrame, kind: int, depth: int, p_min: float, pair: float, symbols: int, gain: float, **how) -> Tree | Parts:
+    """The tree of all frequent contexts of a kind, in parts if it is large."""
+    contexts, pairs, total = _frequent(counts, kind, depth, p_min, pair)
+    first = _cuts(contexts, pairs)
+    if len(first) > 1:
+        pairs = staging.keep(pairs.repartitionByRange("at").sortWithinPartitions("at"), "suffix-sorted")
+
+    def part(i: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        mine = F.col("at") >= first[i]
+        if i + 1 < len(first):
+            mine &= F.col("at") < first[i + 1]
+        for k in range(depth):
+            mine |= (F.col("k") == k) & (F.col("ctx") == first[i] >> 8 * (depth - k))
+        return _columns(contexts.where(mine).select("k", "ctx", "n").orderBy("k", "ctx")), _columns(pairs.where(mine).select("k", "ctx", "next", "n").orderBy("k", "ctx", "next"))
+
+    if len(first) == 1:
+        return grow(*part(0), total, symbols, gain=gain, **how)
+    # contexts that belong to several parts are kept in all if a longer one in any of them is kept
+    shared = {(k, at >> 8 * (depth - k)) for at in first for k in range(1, depth)}
+    also = set().union(*(shared & _kept(*_listed(*part(i)), max(1, total), gain) for i in range(len(first))))
+    folder = staging.folder(counts.sparkSession, "suffix-parts")
+    for i in range(len(first)):
+        staging.commit_file(f"{folder}/{i}", pickle.dumps(grow(*part(i), total, symbols, gain=gain, also=also, **how), protocol=5))
+    return Parts(np.array(first, np.uint64), folder)
+
+
+def _listed(contexts: list[np.ndarray], pairs: list[np.ndarray]) -> tuple[dict, dict]:
+    """How often each context was seen, and its next symbols with their counts."""
+    n = {(int(k), int(c)): float(v) for k, c, v in zip(*contexts, strict=True)}
+    k, ctx, nxt, ns = (x.astype(np.int64) for x in pairs)
+    cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (ctx[1:] != ctx[:-1])])) if len(k) else np.zeros(0, np.int64)
+    return n, {(int(k[i]), int(ctx[i])): (nxt[i:j], ns[i:j].astype(float)) for i, j in pairwise([*cut.tolist(), len(k)])}
+
+
+def _kept(n: dict, rows: dict, total: int, gain: float) -> set[tuple[int, int]]:
     """The contexts (k, ctx) that pass the divergence tests, with all their suffixes; symbols that are not listed one by one count as one more."""
     kept: set[tuple[int, int]] = set()
     for (k, ctx), size in n.items():
@@ -207,7 +255,7 @@ def _kept(n: dict, rows: dict, total: int, gain: float) -> list[tuple[int, int]]
             while k and (k, ctx) not in kept:
                 kept.add((k, ctx))
                 k, ctx = k - 1, ctx >> 8
-    return [(0, 0), *sorted(kept)]
+    return kept
 
 
 @dataclass(frozen=True)
@@ -254,14 +302,34 @@ class Tree:
             node[left] = self.up[node[left]]
         return out
 
+    def logs(self, asked: list[Asked], depth: int) -> list[np.ndarray]:
+        """log10 of the probability of each symbol after the bytes before it."""
+        return [self.score(self.states(stream.contexts(pos, row, depth), len(pos)), symbol) for stream, pos, row, symbol in asked]
 
-def grow(contexts: list[np.ndarray], pairs: list[np.ndarray], total: int, symbols: int, *, all_pairs: bool, gain: float = GAIN, smooth: float = SMOOTH, kindful: float = 1.0) -> Tree:
-    """The tree of the frequent contexts. With ``all_pairs`` every node has every symbol's probability; else a node has those of its pairs."""
-    n = {(int(k), int(c)): float(v) for k, c, v in zip(*contexts, strict=True)}
-    k, ctx, nxt, ns = (x.astype(np.int64) for x in pairs)
-    cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (ctx[1:] != ctx[:-1])])) if len(k) else np.zeros(0, np.int64)
-    rows = {(int(k[i]), int(ctx[i])): (nxt[i:j], ns[i:j].astype(float)) for i, j in pairwise([*cut.tolist(), len(k)])}
-    nodes = {x: i for i, x in enumerate(_kept(n, rows, max(1, total), gain))}
+
+@dataclass(frozen=True)
+class Parts:
+    """A tree in parts. Part i, a ``Tree`` in the folder, is that of the positions whose bytes before, nearest first, make a number from ``first[i]`` up to the next part's."""
+
+    first: np.ndarray
+    folder: str
+
+    def logs(self, asked: list[Asked], depth: int) -> list[np.ndarray]:
+        out = [np.empty(len(pos)) for _, pos, _, _ in asked]
+        own = [np.searchsorted(self.first, stream.codes(pos, row, np.zeros(len(pos)), depth) >> np.uint64(64 - 8 * depth), "right") - 1 for stream, pos, row, _ in asked]
+        for i in range(len(self.first)):
+            mine = [np.flatnonzero(x == i) for x in own]
+            if any(map(len, mine)):
+                tree = pickle.loads(staging.read_file(f"{self.folder}/{i}"))
+                for log, at, (stream, pos, row, symbol) in zip(out, mine, asked, strict=True):
+                    log[at] = tree.score(tree.states(stream.contexts(pos[at], row[at], depth), len(at)), symbol[at])
+        return out
+
+
+def grow(contexts: list[np.ndarray], pairs: list[np.ndarray], total: int, symbols: int, *, all_pairs: bool, gain: float = GAIN, smooth: float = SMOOTH, kindful: float = 1.0, also: frozenset | set = frozenset()) -> Tree:
+    """The tree of the frequent contexts, with those in ``also``. With ``all_pairs`` every node has every symbol's probability; else a node has those of its pairs."""
+    n, rows = _listed(contexts, pairs)
+    nodes = {x: i for i, x in enumerate([(0, 0), *sorted(_kept(n, rows, max(1, total), gain).union(x for x in also if x in n))])}
     used = sorted({c & 255 for k, c in nodes if k})
     column = np.zeros(256, np.int64)
     column[used] = np.arange(1, len(used) + 1)
@@ -303,8 +371,8 @@ def grow(contexts: list[np.ndarray], pairs: list[np.ndarray], total: int, symbol
 @dataclass(frozen=True)
 class Model:
     heads: np.ndarray  #: hashes of the frequent words, sorted
-    next: Tree
-    spell: Tree
+    next: Tree | Parts
+    spell: Tree | Parts
     often: np.ndarray  #: hashes of the words whose counts are broadcast, sorted
     often_n: np.ndarray
     escaped: int  #: escaped training words
@@ -324,19 +392,29 @@ def train(texts: DataFrame, *, text_col: str = "text", p_min: float = P_MIN, gai
     total, kinds = n_words + ends, kinds + (ends > 0)
     least = max(2.0, min(often * total, _least(head, total, 2.0)))
     often_key, often_n = (x.astype(np.int64) for x in _columns(words.where(F.col("n") >= least).orderBy("key")))
-    fewest = _least(head, total, 2.0)
-    while (often_n >= fewest).sum() > MAX_HEADS:
-        fewest *= 1.1
-    is_head = often_n >= fewest
+    is_head = often_n >= _least(head, total, 2.0)
     heads = often_key[is_head]
     below = _counted(texts, text_col, texts.sparkSession.sparkContext.broadcast(heads), "suffix-contexts")
-    spell = grow(*_frequent(below, SPELL, SPELL_DEPTH, p_min, 0.0), 256, all_pairs=True, gain=gain, smooth=smooth)
-    following = grow(*_frequent(below, NEXT, NEXT_DEPTH, p_min, pair), len(heads) + 2, all_pairs=False, gain=gain, smooth=smooth, kindful=2.0)
+    spell = _grown(below, SPELL, SPELL_DEPTH, p_min, 0.0, 256, gain, all_pairs=True, smooth=smooth)
+    following = _grown(below, NEXT, NEXT_DEPTH, p_min, pair, len(heads) + 2, gain, all_pairs=False, smooth=smooth, kindful=2.0)
     escaped = n_words - int(often_n[is_head].sum())
     new = min(1.0, DISCOUNT * (kinds - (ends > 0) - len(heads)) / escaped) if escaped else 1.0
     return Model(heads, following, spell, often_key, often_n.astype(np.float64), int(escaped), new, least, int(total), int(kinds), int(ends)), words
 
 
+def _bunches(pieces: Iterator[tuple[int, np.ndarray, np.ndarray]], most: int) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Runs of pieces that have ``most`` bytes or end there."""
+    bunch, size = [], 0
+    for piece in pieces:
+        bunch.append(piece)
+        size += len(piece[1])
+        if size >= most:
+            yield bunch
+            bunch, size = [], 0
+    if bunch:
+        yield bunch
+
+
 def score(documents: DataFrame, model: Model, words: DataFrame, *, text_col: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
     """The columns in ``carry``, then ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -350,32 +428,33 @@ def score(documents: DataFrame, model: Model, words: DataFrame, *, text_col: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         finder, often_log = flat.Words(flat.SOLID), np.log10(m.often_n + 1)
+        most = BUNCH if isinstance(m.next, Parts) or isinstance(m.spell, Parts) else 1
         for batch in batches:
             column = batch.num_columns - 1
-            for first, data, offsets in flat.pieces(batch.column(column)):
-                stream = Stream(data, offsets, finder)
-                rows = stream.rows
-                pos, row, symbol, escaped = stream.tokens(m.heads)
-                sums = np.bincount(row, weights=m.next.score(m.next.states(stream.contexts(pos, row, NEXT_DEPTH), len(pos)), symbol), minlength=rows)
-                words_of = np.flatnonzero(escaped)
-                at, of = stream.spelled(escaped)
-                spelled = np.zeros(0)
-                if len(at):
-                    logp = m.spell.score(m.spell.states(stream.contexts(at, of, SPELL_DEPTH), len(at)), stream.symbols[at + 1].astype(np.int64))
+            for bunch in _bunches(flat.pieces(batch.column(column)), most):
+                firsts, streams = zip(*((first, Stream(data, offsets, finder)) for first, data, offsets in bunch), strict=True)
+                tokens = [stream.tokens(m.heads) for stream in streams]
+                nexts = m.next.logs([(stream, *x[:3]) for stream, x in zip(streams, tokens, strict=True)], NEXT_DEPTH)
+                places = [stream.spelled(x[3]) for stream, x in zip(streams, tokens, strict=True)]
+                spells = m.spell.logs([(stream, at, of, stream.symbols[at + 1].astype(np.int64)) for stream, (at, of) in zip(streams, places, strict=True)], SPELL_DEPTH)
+                for first, stream, (_, row, _, escaped), following, logp in zip(firsts, streams, tokens, nexts, spells, strict=True):
+                    rows = stream.rows
+                    sums = np.bincount(row, weights=following, minlength=rows)
+                    words_of = np.flatnonzero(escaped)
                     spelled = np.bincount(np.repeat(np.arange(len(words_of)), stream.size[words_of] + 1), weights=logp, minlength=len(words_of))
-                own = stream.hashes.view(np.int64)
-                place = np.searchsorted(m.often, own)
-                place[place == len(m.often)] = 0
-                known = m.often[place] == own if len(m.often) else np.zeros(len(own), bool)
-                logs = np.bincount(stream.row[known], weights=often_log[place[known]], minlength=rows) if known.any() else np.zeros(rows)
-                counted = known[words_of]
-                if counted.any():
-                    share = (m.often_n[place[words_of[counted]]] - DISCOUNT) / escaped_words
-                    sums += np.bincount(stream.row[words_of[counted]], weights=np.log10(share + new * 10.0 ** spelled[counted]), minlength=rows)
-                rest = np.concatenate([[0], np.cumsum(np.bincount(stream.row[~known], minlength=rows))]).astype(np.int32)
-                tails = pa.StructArray.from_arrays([pa.array(own[~known]), pa.array(spelled[~counted].astype(np.float32))], fields=[pa.field("key", pa.int64()), pa.field("spelled", pa.float32())])
-                columns = [np.diff(stream.before) + 1, np.bincount(stream.row[known], minlength=rows), logs, sums]
-                yield pa.RecordBatch.from_arrays([*[c.slice(first, rows) for c in batch.columns[:column]], *map(pa.array, columns), pa.ListArray.from_arrays(pa.array(rest), tails)], names=schema.names)
+                    own = stream.hashes.view(np.int64)
+                    place = np.searchsorted(m.often, own)
+                    place[place == len(m.often)] = 0
+                    known = m.often[place] == own if len(m.often) else np.zeros(len(own), bool)
+                    logs = np.bincount(stream.row[known], weights=often_log[place[known]], minlength=rows) if known.any() else np.zeros(rows)
+                    counted = known[words_of]
+                    if counted.any():
+                        share = (m.often_n[place[words_of[counted]]] - DISCOUNT) / escaped_words
+                        sums += np.bincount(stream.row[words_of[counted]], weights=np.log10(share + new * 10.0 ** spelled[counted]), minlength=rows)
+                    rest = np.concatenate([[0], np.cumsum(np.bincount(stream.row[~known], minlength=rows))]).astype(np.int32)
+                    tails = pa.StructArray.from_arrays([pa.array(own[~known]), pa.array(spelled[~counted].astype(np.float32))], fields=[pa.field("key", pa.int64()), pa.field("spelled", pa.float32())])
+                    columns = [np.diff(stream.before) + 1, np.bincount(stream.row[known], minlength=rows), logs, sums]
+                    yield pa.RecordBatch.from_arrays([*[c.slice(first, rows) for c in batch.columns[:column]], *map(pa.array, columns), pa.ListArray.from_arrays(pa.array(rest), tails)], names=schema.names)
 
     # written, so that the row numbers and the tails come from files whatever is lost later
     half = staging.keep(given.mapInArrow(work, schema).withColumn("__row", F.monotonically_increasing_id()), "suffix-scores")

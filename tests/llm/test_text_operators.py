@@ -121,6 +121,25 @@ def test_suffix_tree(docs, none):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (1, 0, 0) and math.isfinite(r.score)
 
 
+def test_suffix_tree_in_parts_is_the_whole_tree(docs, monkeypatch):
+    given = docs.select(F.monotonically_increasing_id().alias("n"), "text")
+
+    def scores():
+        model, counts = op1_suffix_tree.train(given)
+        return model, {r.n: (r.n_tokens, r.base_score, r.score) for r in op1_suffix_tree.score(given, model, counts, carry=(F.col("n"),)).collect()}
+
+    model, whole = scores()
+    assert len(model.next.up) > 20 and len(model.spell.up) > 20
+    for contexts, pairs in ((100, 10**9), (10**9, 600)):
+        monkeypatch.setattr(op1_suffix_tree, "MAX_CONTEXTS", contexts)
+        monkeypatch.setattr(op1_suffix_tree, "MAX_PAIRS", pairs)
+        model, got = scores()
+        assert got.keys() == whole.keys()
+        for n, r in got.items():
+            assert r == pytest.approx(whole[n], abs=1e-6)
+        assert len(model.next.first) > 1 and len(model.spell.first) > 3
+
+
 def test_language_id(docs, none):
     held = op2_language_id.held_out()
     model = op2_language_id.fit(docs.where(~held))
