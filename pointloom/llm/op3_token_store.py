@@ -268,11 +268,32 @@ class Shard:
         return np.frombuffer(self.reader.decompress(frame), kind).astype("<u4")
 
 
+def _width_and_dictionary(texts: list[str], tokenizer_path: str, end_id: int) -> tuple[int, bytes]:
+    width = 2 if max(vocabulary(tokenizer_path) - 1, end_id) < 1 << 16 else 4
+    encoder = encoder_of(tokenizer_path, width)
+    ids, cuts = encoder.encode(pa.array(texts, pa.string()))
+    encoder.trim()
+    return width, train_dictionary([x for x in (ids[i:j].tobytes() for i, j in pairwise(cuts.tolist())) if x])
+
+
+def _learned(drawn: DataFrame, tokenizer_path: str, end_id: int) -> tuple[int, bytes]:
+    """Bytes of an id, and the dictionary trained on the texts ``drawn``. One task of an executor makes them: the driver holds neither the tokenizer nor the sample."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, raw = _width_and_dictionary([t for batch in batches for t in batch.column(0).to_pylist()], tokenizer_path, end_id)
+        flat.tidy()
+        yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([raw], pa.binary())], names=["width", "raw"])
+
+    # an empty text has no ids; with it there is a task even where nothing was drawn
+    empty = drawn.sparkSession.range(0, 1, 1, 1).select(F.lit("").alias("text"))
+    got = drawn.unionByName(empty).coalesce(1).mapInArrow(work, "width int, raw binary").first()
+    return got["width"], bytes(got["raw"])
+
+
 def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END, range_bytes: int = RANGE_BYTES, shard_limit: int = SHARD_BYTES, level: int = 3) -> DataFrame:
     """Write the store and return its manifest, in order: a row for each shard."""
     spark = documents.sparkSession
     tokenizer_path = tokenizer_path or default_tokenizer()
-    width = 2 if max(vocabulary(tokenizer_path) - 1, end_id) < 1 << 16 else 4
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     # pieces at hashed places of hashed documents, so that every part of every text may be drawn
@@ -280,9 +301,7 @@ def write(documents: DataFrame, at: str, *, id_col: str = "doc_id", text_col: st
     begin = F.pmod(F.xxhash64("id", "text", F.lit("begin")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     some = min(1.0, 1.5 * SAMPLE / max(1, rows.count()))
     drawn = rows.where(draw < int(some * (1 << 30))).select(draw.alias("draw"), F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("draw", "text").limit(2 * SAMPLE)
-    ids, cuts = Encoder(tokenizer_path, width).encode(pa.array([r["text"] for r in drawn.collect()], pa.string()))
-    samples = [x for x in (ids[i:j].tobytes() for i, j in pairwise(cuts.tolist())) if x]
-    raw = train_dictionary(samples)
+    width, raw = _learned(drawn.select("text"), tokenizer_path, end_id)
     name = hashlib.sha256(raw).hexdigest()
     staging.commit_file(f"{at}/dictionary-{name}.zdict", raw)
     shared = spark.sparkContext.broadcast(raw)

@@ -286,11 +286,13 @@ def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         multi = put(multi, "near-buckets")
         sets = put(sketches.select("node", "set").join(_few(put(multi.select("node").distinct(), "near-nodes")), "node", "left_semi"), "near-sets")
         tested = put(_pairs(multi, "leader", "node", "leader_n", "n"), "near-pairs")
+        found = _verify(tested, sets)
         # rows that share an id are one document
-        several = worded.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where(F.col("x") != F.col("y"))
-        own = worded.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("of"), "k1", "k2").join(reps.select("k1", "k2", "node"), ["k1", "k2"])
-        twins = own.select("of", F.col("node").alias("a")).join(own.groupBy("of").agg(F.min("node").alias("b")), "of").select("a", "b").distinct()
-        links = put(_verify(tested, sets).unionByName(twins), "near-links")
+        several = put(worded.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where(F.col("x") != F.col("y")).select("id"), "near-several")
+        if not several.isEmpty():
+            own = worded.join(several, "id", "left_semi").select(F.col("id").alias("of"), "k1", "k2").join(reps.select("k1", "k2", "node"), ["k1", "k2"])
+            found = found.unionByName(own.select("of", F.col("node").alias("a")).join(own.groupBy("of").agg(F.min("node").alias("b")), "of").select("a", "b").distinct())
+        links = put(found, "near-links")
         label = _rounds(multi, links, tested, sets, sketches, put)
 
         placed = reps.join(label, "node", "left").select("k1", "k2", "id", "n_copies", F.coalesce("comp", "node").alias("comp"))

@@ -264,6 +264,31 @@ def test_token_store(docs, none, ready):
     assert op3_token_store.write(none, at).count() == 0 and op3_token_store.read(ready, at).count() == 0
 
 
+def test_token_store_keeps_the_tokenizer_off_the_driver(docs, ready, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("on the driver")
+
+    for name in ("Encoder", "vocabulary", "train_dictionary"):
+        monkeypatch.setattr(op3_token_store, name, refuse)
+    at = staging.folder(ready, "test-tokens")
+    op3_token_store.write(docs, at)
+    assert op3_token_store.read(ready, at).count() == len(rows())
+
+
+def test_mixing_plans_no_joins_for_few_cells(docs, ready, monkeypatch):
+    given, calibrate = [], op4_mixing.calibrate
+    monkeypatch.setattr(op4_mixing, "calibrate", lambda tokens, index, goals, *rest: given.append([g[i] for i, g in zip(index, goals, strict=True)]) or calibrate(tokens, index, goals, *rest))
+    targets = {"source": {"s0": 0.2, "s1": 0.5, "s3": 0.4}}
+    ready.sparkContext.setJobGroup("mixing", "")
+    cells = op4_mixing.fit(docs, targets).cells
+    jobs = len(ready.sparkContext.statusTracker().getJobIdsForGroup("mixing"))
+    ready.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12
+    joined = op4_mixing._with_goals(cells, list(op4_mixing.AXES), targets, op4_mixing.POWERS, 1).orderBy(*op4_mixing.AXES).collect()
+    for axis, goals in zip(op4_mixing.AXES, given[0], strict=True):
+        assert goals.tolist() == pytest.approx([r[f"goal_{axis}"] for r in joined], rel=1e-12)
+
+
 def test_mixing(docs, none):
     goal = {"s0": 0.2, "s1": 0.4, "s3": 0.3, "(none)": 0.1}
     fitted = op4_mixing.fit(docs, {"source": goal}, powers={"source": 0.5, "lang": None, "topic": None}, budget=0.01)
