@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pointloom.functions.grid import Grid, defined, div_down
+from pointloom.shared import keep
 
 FIELDS = ("x", "y", "z", "radius", "nx", "ny", "nz", "quality")
 SCHEMA = T.StructType([T.StructField(n, T.FloatType()) for n in FIELDS])
 FILE_SHIFT = 40
 AXES = ("x", "y", "z")
+#: Windows run over blocks of 2^17 consecutive ids; what crosses a border is put together from a few rows for each block.
+BLOCK_BITS = 17
 
 
 def splat_id(file_id: Column, row: Column) -> Column:
@@ -22,6 +25,20 @@ def splat_id(file_id: Column, row: Column) -> Column:
     return F.shiftleft(file_id.cast("long"), FILE_SHIFT).bitwiseOR(row.cast("long"))
 
 
+def numbered(df: DataFrame, part: list[str], order: list[str], name: str = "row") -> DataFrame:
+    """Each row's place, from 0, by ``order`` among those of its ``part``. Ranges of the order are sorted by tasks of their own, however
+    few parts there are; a row for each task and part then gives where its rows begin."""
+    laid = df.repartitionByRange(*part, *order).sortWithinPartitions(*part, *order).withColumn("_at", F.monotonically_increasing_id())
+    laid = keep(laid, "numbered").withColumn("_task", F.shiftright("_at", 33))
+    runs = laid.groupBy("_task", *part).agg(F.min("_at").alias("_base"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*part).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select(F.col("_task").alias("_of"), *[F.col(c).alias(f"_of_{c}") for c in part], (before - F.col("_base")).alias("_shift"))
+    same = F.col("_task") == F.col("_of")
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return laid.join(F.broadcast(starts), same).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)  # a row for each task and part
+
+
 def project(df: DataFrame, smooth: float = 4.0, max_radius: float = math.inf) -> DataFrame:
     """The radius clamped, then scaled; quality from the result. NaN is dealt with first, as Spark takes it for the largest number."""
     r = F.col("radius").cast("double")
@@ -80,6 +97,15 @@ def clamp_boxes(df: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
     return out.where((F.col("lo_x") <= F.col("hi_x")) & (F.col("lo_y") <= F.col("hi_y")) & (F.col("lo_z") <= F.col("hi_z")))
 
 
+def _block(id: Column) -> Column:
+    return F.shiftright(id, BLOCK_BITS)
+
+
+def _with_next(df: DataFrame, id: Column, following: Column) -> DataFrame:
+    """``_block`` of each row, and once more the rows after which an id of another block can follow."""
+    return df.withColumn("_block", F.explode(F.when(_block(following) != _block(id), F.array(_block(id), _block(following))).otherwise(F.array(_block(id)))))
+
+
 def blobs(boxed: DataFrame, part: str = "scan") -> DataFrame:
     """Runs of consecutive ids with the same box: ``first``, ``last`` (exclusive) and the box. ``part`` splits the ids (a file, a range of
     ids) so that the windows run in parallel; a run never crosses it."""
@@ -128,6 +154,12 @@ def decode_blobs(encoded: DataFrame, part: str = "scan") -> DataFrame:
     return out.select(part, "first", *columns)
 
 
+def _before(blocks: DataFrame, by: str, value: Column) -> DataFrame:
+    """``_by``, ``_of`` (a block) and ``_given``: the value from all blocks of the ``by`` before it; over a row for each block."""
+    order = W.partitionBy(by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    return blocks.select(F.col(by).alias("_by"), F.col("_block").alias("_of"), value.over(order).alias("_given"))
+
+
 def merge_ranges(ranges: DataFrame, by: str, gap: int = 0) -> DataFrame:
     """Union of half-open id ranges of each ``by``: those that overlap, touch, or lie at most ``gap`` apart are one."""
     order = W.partitionBy(by).orderBy("first", "last")
