@@ -108,15 +108,22 @@ def _with_next(df: DataFrame, id: Column, following: Column) -> DataFrame:
 
 def blobs(boxed: DataFrame, part: str = "scan") -> DataFrame:
     """Runs of consecutive ids with the same box: ``first``, ``last`` (exclusive) and the box. ``part`` splits the ids (a file, a range of
-    ids) so that the windows run in parallel; a run never crosses it."""
+    ids); a run never crosses it. Runs are found in blocks of ids, each with the row before it; those that reach a block's end are joined."""
     box = [f"{n}_{a}" for n in ("lo", "hi") for a in AXES]
-    order = W.partitionBy(part).orderBy("splat_id")
+    i = F.col("splat_id")
+    order = W.partitionBy(part, "_block").orderBy("splat_id")
     new = F.lit(False)
     for c in box:
         new = new | ~F.col(c).eqNullSafe(F.lag(c).over(order))
-    new = new | (F.lag("splat_id").over(order) != F.col("splat_id") - 1) | F.lag("splat_id").over(order).isNull()
-    runs = boxed.withColumn("run", F.sum(new.cast("int")).over(order))
-    return runs.groupBy(part, "run", *box).agg(F.min("splat_id").alias("first"), (F.max("splat_id") + 1).alias("last")).drop("run")
+    new = new | (F.lag("splat_id").over(order) != i - 1) | F.lag("splat_id").over(order).isNull()
+    rows = _with_next(boxed.select(part, "splat_id", *box), i, i + 1).withColumn("_new", new).where(_block(i).eqNullSafe(F.col("_block")))
+    runs = rows.withColumn("run", F.sum(F.col("_new").cast("int")).over(order))
+    found = runs.groupBy(part, "_block", "run", *box).agg(F.min("splat_id").alias("first"), (F.max("splat_id") + 1).alias("last"), F.max("_new").alias("_new"))
+    cut = ~F.col("_new") | (F.col("last").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == 0)
+    found = keep(found.withColumn("_cut", F.coalesce(cut, F.lit(False))), "runs")
+    pieces = found.where("_cut").withColumn("run", F.sum(F.col("_new").cast("int")).over(W.partitionBy(part).orderBy("first")))  # at most two for each block
+    whole = pieces.groupBy(part, "run", *box).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return found.where("not _cut").select(part, *box, "first", "last").unionByName(whole.select(part, *box, "first", "last"))
 
 
 def encode_blobs(found: DataFrame, part: str = "scan") -> DataFrame:
