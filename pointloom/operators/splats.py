@@ -128,8 +128,9 @@ def blobs(boxed: DataFrame, part: str = "scan") -> DataFrame:
 
 def encode_blobs(found: DataFrame, part: str = "scan") -> DataFrame:
     """Each blob as words: one, of differences, where the run starts at the end of the one before, its box is at most one wider and moves by -4 .. 3 buckets
-    from it, and its length fits; else ten (first and last in two words each, then the box)."""
-    order = W.partitionBy(part).orderBy("first")
+    from it, and its length fits; else ten (first and last in two words each, then the box). Blobs don't overlap; only one that ends where another
+    begins matters to it, so that one is also in the other's block."""
+    order = W.partitionBy(part, "_block").orderBy("first")
     size = F.col("last") - F.col("first")
     word, fits = size, (size > 0) & (size < 1 << 19) & (F.lag("last").over(order) == F.col("first"))
     for i, a in enumerate(AXES):
@@ -138,27 +139,35 @@ def encode_blobs(found: DataFrame, part: str = "scan") -> DataFrame:
         word = word.bitwiseOR(F.shiftleft(wide, 19 + 4 * i)).bitwiseOR(F.shiftleft(move.bitwiseAND(F.lit(7)), 20 + 4 * i))
     low = F.lit((1 << 32) - 1)
     full = F.array(*[w for c in ("first", "last") for w in (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(low))], *[F.col(f"{n}_{a}") for a in AXES for n in ("lo", "hi")])
-    return found.select(part, "first", F.when(F.coalesce(fits, F.lit(False)), F.array(word.bitwiseOR(F.lit(1 << 31)))).otherwise(full).alias("words"))
+    words = F.when(F.coalesce(fits, F.lit(False)), F.array(word.bitwiseOR(F.lit(1 << 31)))).otherwise(full)
+    rows = _with_next(found, F.col("first"), F.col("last")).withColumn("words", words)
+    return rows.where(_block(F.col("first")).eqNullSafe(F.col("_block"))).select(part, "first", "words")
 
 
 def decode_blobs(encoded: DataFrame, part: str = "scan") -> DataFrame:
-    """The blobs again: differences are summed since the last full record."""
-    order = W.partitionBy(part).orderBy("first")
+    """The blobs again: differences are summed since the last full record, which may be some blocks before; a row for each block hands the sums on."""
+    order = W.partitionBy(part, "_block").orderBy("first")
     short = F.size("words") == 1
-    rows = encoded.withColumn("base", F.sum(F.when(short, 0).otherwise(1)).over(order))
-    since = W.partitionBy(part, "base").orderBy("first")
+    rows = encoded.withColumn("_block", _block(F.col("first"))).withColumn("base", F.sum(F.when(short, 0).otherwise(1)).over(order))
+    since = W.partitionBy(part, "_block", "base").orderBy("first")
     word = F.col("words")[0]
     full = lambda i: F.try_element_at("words", F.lit(i + 1))
-    out = rows.withColumn("size", F.when(short, word.bitwiseAND(F.lit((1 << 19) - 1))).otherwise(F.shiftleft(full(2), 32).bitwiseOR(full(3)) - F.shiftleft(full(0), 32).bitwiseOR(full(1))))
-    columns = [(F.col("first") + F.col("size")).alias("last")]
+    size = F.when(short, word.bitwiseAND(F.lit((1 << 19) - 1))).otherwise(F.shiftleft(full(2), 32).bitwiseOR(full(3)) - F.shiftleft(full(0), 32).bitwiseOR(full(1)))
+    columns = [(F.col("first") + size).alias("last")]
     for i, a in enumerate(AXES):
         wide = F.when(short, F.shiftright(word, 19 + 4 * i).bitwiseAND(F.lit(1))).otherwise(full(5 + 2 * i) - full(4 + 2 * i))
         move = F.shiftright(word, 20 + 4 * i).bitwiseAND(F.lit(7))
         step = F.when(short, F.when(move >= 4, move - 8).otherwise(move))
-        out = out.withColumn(f"wide_{a}", wide).withColumn(f"step_{a}", F.when(short, step + wide).otherwise(full(5 + 2 * i)))
-        hi = F.sum(f"step_{a}").over(since)
-        columns += [(hi - F.col(f"wide_{a}")).alias(f"lo_{a}"), hi.alias(f"hi_{a}")]
-    return out.select(part, "first", *columns)
+        columns += [wide.alias(f"wide_{a}"), F.sum(F.when(short, step + wide).otherwise(full(5 + 2 * i))).over(since).alias(f"hi_{a}")]
+    rows = keep(rows.select(part, "_block", "first", (F.col("base") > 0).alias("_based"), *columns), "decoded")
+    his = [f"hi_{a}" for a in AXES]
+    ends = rows.groupBy(part, "_block").agg(F.max("_based").alias("_based"), *[F.max_by(c, "first").alias(c) for c in his])
+    ends = ends.withColumn("base", F.sum(F.col("_based").cast("int")).over(W.partitionBy(part).orderBy("_block")))
+    ends = ends.select(part, "_block", *[F.sum(c).over(W.partitionBy(part, "base").orderBy("_block")).alias(c) for c in his])
+    given = ends.select(F.col(part).alias("_part"), F.col("_block").alias("_of"), *[F.lag(c).over(W.partitionBy(part).orderBy("_block")).alias(f"_{c}") for c in his])
+    open_ = rows.where("not _based").join(given, F.col(part).eqNullSafe(F.col("_part")) & F.col("_block").eqNullSafe(F.col("_of")))
+    rows = rows.where("_based").unionByName(open_.withColumns({c: F.col(c) + F.col(f"_{c}") for c in his}).select(*rows.columns))
+    return rows.select(part, "first", "last", *[x for a in AXES for x in ((F.col(f"hi_{a}") - F.col(f"wide_{a}")).alias(f"lo_{a}"), f"hi_{a}")])
 
 
 def _before(blocks: DataFrame, by: str, value: Column) -> DataFrame:
