@@ -177,19 +177,33 @@ def _before(blocks: DataFrame, by: str, value: Column) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, by: str, gap: int = 0) -> DataFrame:
-    """Union of half-open id ranges of each ``by``: those that overlap, touch, or lie at most ``gap`` apart are one."""
-    order = W.partitionBy(by).orderBy("first", "last")
-    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = ranges.withColumn("new", F.when(reach.isNull() | (F.col("first") > reach + gap), 1).otherwise(0))
-    return marked.withColumn("run", F.sum("new").over(order)).groupBy(by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    """Union of half-open id ranges of each ``by``: those that overlap, touch, or lie at most ``gap`` apart are one. Of equal starts the longest range
+    counts; unions are found in blocks of starts, and those at a block's ends are joined."""
+    rows = keep(ranges.groupBy(by, "first").agg(F.max("last").alias("last")).withColumn("_block", _block(F.col("first"))), "ranges")
+    given = _before(rows.groupBy(by, "_block").agg(F.max("last").alias("last")), by, F.max("last"))
+    order = W.partitionBy(by, "_block").orderBy("first")
+    rows = rows.withColumn("_reach", F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("_end", F.lead("_block").over(order).isNull())
+    rows = rows.join(given, F.col(by).eqNullSafe(F.col("_by")) & F.col("_block").eqNullSafe(F.col("_of")))
+    reach = F.greatest("_reach", "_given")
+    rows = rows.withColumn("_new", reach.isNull() | (F.col("first") > reach + gap)).withColumn("run", F.sum(F.col("_new").cast("int")).over(order))
+    found = keep(rows.groupBy(by, "_block", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("_new").alias("_new"), F.max("_end").alias("_end")), "runs")
+    cut = ~F.col("_new") | F.col("_end")
+    pieces = found.where(cut).withColumn("run", F.sum(F.col("_new").cast("int")).over(W.partitionBy(by).orderBy("first")))  # at most two for each block
+    whole = pieces.groupBy(by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return found.where(~cut).select(by, "first", "last").unionByName(whole.select(by, "first", "last"))
 
 
 def in_ranges(df: DataFrame, ranges: DataFrame, by: str) -> DataFrame:
-    """Rows whose id lies in a range of their ``by``: ids and starts are laid in one order, and each id looks back to the last start (ranges must be merged)."""
+    """Rows whose id lies in a range of their ``by``: ids and starts are laid in one order, and each id looks back to the last start, in its block or in
+    one before (ranges must be merged)."""
     rows = df.select(by, F.col("splat_id").alias("at"), F.lit(None).cast("long").alias("last"), F.lit(1).alias("kind"), F.struct("*").alias("row"))
     starts = ranges.select(by, F.col("first").alias("at"), "last", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
-    order = W.partitionBy(by).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
-    return rows.unionByName(starts).withColumn("until", F.last("last", ignorenulls=True).over(order)).where((F.col("kind") == 1) & (F.col("at") < F.col("until"))).select("row.*")
+    both = rows.unionByName(starts).withColumn("_block", _block(F.col("at")))
+    given = _before(both.groupBy(by, "_block").agg(F.max_by("last", F.when(F.col("kind") == 0, F.col("at"))).alias("last")), by, F.last("last", ignorenulls=True))
+    order = W.partitionBy(by, "_block").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    until = both.withColumn("_until", F.last("last", ignorenulls=True).over(order)).where(F.col("kind") == 1)
+    until = until.join(given, F.col(by).eqNullSafe(F.col("_by")) & F.col("_block").eqNullSafe(F.col("_of")))
+    return until.where(F.col("at") < F.coalesce("_until", "_given")).select("row.*")
 
 
 def partition_rows(total: int, rank: int, size: int) -> tuple[int, int]:
