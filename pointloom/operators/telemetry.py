@@ -33,6 +33,8 @@ SEVERAL = {
 }
 
 COUNTER, VARIABLE, PEAK = "counter", "variable", "peak"
+#: Lines are looked back over in blocks of 2^17 numbers.
+BLOCK_BITS = 17
 
 
 def counters(samples: DataFrame) -> DataFrame:
@@ -123,8 +125,13 @@ def unmatched_times(parsed: DataFrame, several: bool = False) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line``, ``value`` of text files; numbers order the lines of a file (they follow the scan's partitions, which are cut in order)."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    """``line``, ``value`` of text files; numbers order the lines, by the files' names, then by place. A line's number is twice the start of the piece of
+    the file that it is read from, and its place among the lines of the task: pieces after the first of a task are the last of their files."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    files = lines.select("file").distinct().withColumn("_file", F.row_number().over(W.orderBy("file")).cast("long"))  # a row for each file
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = lines.select("value", "file", (F.col("_start") * 2 + at).alias("_at"))
+    return rows.join(F.broadcast(files), "file").select((F.shiftleft("_file", 44) + F.col("_at")).alias("line"), "value")
 
 
 def parse_timeline(lines: DataFrame) -> DataFrame:
@@ -132,7 +139,11 @@ def parse_timeline(lines: DataFrame) -> DataFrame:
     event, value = r"^EVENT (\S+) (\S+) ([0-9.]+) ([0-9.]+)$", r"^VALUE ([0-9]+)$"
     rows = lines.where(F.col("value").rlike(event) | F.col("value").rlike(value))
     is_event = F.col("value").rlike(event)
-    rows = rows.withColumn("of", F.last(F.when(is_event, F.col("line")), ignorenulls=True).over(W.orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("block", F.shiftright("line", BLOCK_BITS))
+    blocks = rows.groupBy("block").agg(F.max(F.when(is_event, F.col("line"))).alias("line"))
+    given = blocks.select("block", F.max("line").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("given"))  # a row for each block
+    here = F.last(F.when(is_event, F.col("line")), ignorenulls=True).over(W.partitionBy("block").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("of", here).join(given, "block").withColumn("of", F.coalesce("of", "given")).drop("given")
     fields = [F.max(F.when(is_event, F.regexp_extract("value", event, i))).alias(n) for i, n in enumerate(("worker", "action", "start", "stop"), 1)]
     given = F.max_by(F.when(~is_event, F.regexp_extract("value", value, 1)), F.when(~is_event, F.col("line")))
     out = rows.where(F.col("of").isNotNull()).groupBy("of").agg(*fields, given.alias("given"))
@@ -140,9 +151,9 @@ def parse_timeline(lines: DataFrame) -> DataFrame:
 
 
 def timeline_text(events: DataFrame) -> DataFrame:
-    """The lines of a timeline."""
+    """The lines of a timeline, in the order of tasks; an event's lines are in one task."""
     lines = F.array_compact(F.array(F.format_string("EVENT %s %s %.9f %.9f", "worker", "action", "start", "stop"), F.when(F.col("value").isNotNull(), F.format_string("VALUE %d", "value"))))
-    return events.select("line", F.posexplode(lines).alias("k", "value")).orderBy("line", "k").select("value")
+    return events.repartitionByRange("line").sortWithinPartitions("line").select(F.explode(lines).alias("value"))
 
 
 def action_times(events: DataFrame) -> DataFrame:
