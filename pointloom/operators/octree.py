@@ -48,7 +48,8 @@ def with_positions(found: DataFrame) -> DataFrame:
 
 
 def chain(leaves: DataFrame, found: DataFrame, levels: int) -> DataFrame:
-    """``code`` of a leaf (level 0) and each ``splat_id`` of it and of its ancestors."""
+    """``code`` of a leaf (level 0) and what ``found`` has of it and of its ancestors: each ``splat_id`` of ``entries``, or a row a node."""
+    rest = [c for c in found.columns if c not in ("level", "code")]
     ups = leaves.select("code", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
     ups = ups.withColumn("of", F.call_function("shiftright", F.col("code"), F.col("level") * 3))
-    return ups.join(found.select("level", F.col("code").alias("of"), "splat_id"), ["level", "of"]).select("code", "splat_id")
+    return ups.join(found.select("level", F.col("code").alias("of"), *rest), ["level", "of"]).select("code", *rest)
