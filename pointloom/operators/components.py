@@ -2,7 +2,8 @@
 
 Up to ``ONE_TASK`` distinct edges (16 MB) go through a union-find in one task, on an executor. Larger graphs take alternating large-star and
 small-star rounds, all distributed, until they have become stars. Each round is two aggregations (combined before the shuffle) and two equi-joins; its edges are written to the shared folder, so
-the lineage is one round long and a lost executor costs a task, not the run. That takes about the logarithm of the longest path.
+the lineage is one round long and a lost executor costs a task, not the run. That takes about the logarithm of the longest path. The edges of a hub, a node of more
+than ``HUB`` edges, don't meet in a task: hubs are few (two for each ``HUB`` edges at most) and are broadcast to their edges.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pointloom.shared import keep
 
 
 ONE_TASK = 1_000_000
+HUB = 200_000
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +48,14 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _are_stars(edges: DataFrame) -> bool:
     """Every upper end has one lower end, which is no upper end itself."""
     upper = edges.groupBy("u").agg(F.count("*").alias("n"))
-    return upper.where(F.col("n") > 1).isEmpty() and edges.join(upper.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    return upper.where(F.col("n") > 1).isEmpty() and edges.select("v").distinct().join(upper.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with the ``m`` of their ``u``; ``least``: ``u``, ``m`` and its number of edges ``n``. Edges of hubs are joined where they are."""
+    hubs = F.broadcast(least.where(F.col("n") > HUB).select("u", "m"))  # two for each HUB edges at most
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(others)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK, put: Callable[[DataFrame, str], DataFrame] = keep) -> DataFrame:
@@ -59,10 +68,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task:
     work = work.where(F.col("u") != F.col("v"))
     while not _are_stars(work):
         both = work.select("u", "v").unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        least = put(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = put(_with_least(both, least).where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = put(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = _with_least(large, least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         work = put(small, "edges")
     found = work.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     roots = found.select(F.col("comp").alias("node")).distinct().select("node", F.col("node").alias("comp"))
